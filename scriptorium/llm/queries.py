@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm import chat, decontaminate, matroska, packing, token_files, warc
+from scriptorium.llm import chat, decontaminate, matroska, near_join, packing, suffix_dedup, token_files, warc
 from scriptorium.llm.storage import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,17 @@ from d left join words using (r) left join items using (r)
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+@_query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 50-byte strings of earlier documents cover."""
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: class over links of 0.8 and more, and number of links."""
+    return near_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
