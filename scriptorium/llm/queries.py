@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm import chat, decontaminate, matroska, near_join, packing, suffix_dedup, token_files, warc
+from scriptorium.llm import chat, decontaminate, langid, matroska, near_join, packing, suffix_dedup, token_files, toxicity, warc
 from scriptorium.llm.storage import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,27 @@ from placed group by conv_id
 """
 
 
+def _fold(folds: int, held: int):
+    """Whether crc32(doc_id as text) mod folds is held; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held, F.lit(False))
+
+
+@_query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' languages, learned from the folds that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~_fold(3, 1)))
+    return langid.languages(docs, model).select("doc_id", _fold(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' toxicity, learned from the labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(~_fold(5, 0)))
+    return toxicity.scores(docs, model).select("doc_id", _fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids, written as Parquet lists in doc_id order and read back."""
