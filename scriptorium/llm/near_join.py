@@ -235,7 +235,7 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, runs: int | None = None) -> DataFrame:
-    """One row per row: key, text_hash (xxhash64 of the text), class_id, n_links."""
+    """One row per row: key, text_hash (xxhash64 of the text), class (a number, null for wordless texts), class_id, n_links."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -276,6 +276,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     named = sets.join(classes.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = named.groupBy("label").agg(F.min("first").alias("class_id"))
     counted = links.groupBy("set").agg(F.sum("links").alias("links"))
-    known = named.join(least, "label").join(counted, "set", "left").select(F.col("members").alias("same"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
+    known = named.join(least, "label").join(counted, "set", "left").select(F.col("members").alias("same"), F.col("label").alias("class"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
     found = rows.select("key", "text_hash", "members").join(known, F.col("members") == F.col("same"), "left")
-    return found.select(F.col("key").alias(key), "text_hash", F.when(F.col("members").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.select(F.col("key").alias(key), "text_hash", "class", F.when(F.col("members").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
