@@ -1,3 +1,4 @@
 """Imports every query module, so that each registers its queries."""
 
+from scriptorium.plans import search_queries  # noqa: F401
 from scriptorium.plans.registry import ORACLES, QUERIES  # noqa: F401
