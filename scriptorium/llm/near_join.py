@@ -4,7 +4,7 @@ A document is the set of its five-word shingles; documents of equal sets form on
 copies never meet each other. Each set carries minimum hashes, that is, sampled tokens. A run sends each
 set down a path: it is split off by a sampled token, and buckets that are still large are split again by
 further tokens, sampled anew at each path (with one more branch for every fourth path, 1 / 0.8 branches
-on average). Buckets that are small, or that four splits leave large, are compared by brute force on the
+on average). Buckets that are small, or that three splits leave large, are compared by brute force on the
 minimum hashes, the latter block against block. Runs are repeated until the recall aimed at: a similar
 pair stays together on a path of d splits with probability similarity ** d, so ``runs_for`` gives their
 number. What the buckets join are candidate groups; in them all pairs of sets are compared exactly on
@@ -33,7 +33,7 @@ from scriptorium.llm.storage import staged
 from scriptorium.llm.text import mix, word_hashes
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-7
-COORDINATES, SMALL, MOST_SPLITS, BLOCK = 128, 96, 4, 512
+COORDINATES, SMALL, MOST_SPLITS, BLOCK = 128, 256, 3, 512
 #: Below the similarity by five standard deviations of an estimate from 128 minimum hashes.
 ESTIMATE = 0.62
 

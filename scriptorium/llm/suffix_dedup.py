@@ -222,12 +222,16 @@ def _runs_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, li
 def _verdicts(buckets: int):
     """For each key, its pieces that are known (lowest bit 0) and those it is asked for (1)."""
 
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, piece = (np.concatenate(x) for x in zip(*held))
+        return _message_batch(_messages(_key_bucket(key, buckets), {"key": key, "piece": piece}, "v"))
+
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, payloads in _runs_by_bucket(batches):
             parts = [_unpack(p) for p in payloads]
             announced = [p for p in parts if "a_piece" in p]
-            keys = [_unpack_keys({n[2:]: x for n, x in p.items() if n[0] == "k"}) for p in parts if "k_piece" in p]
-            out = [p["k_piece"] for p in parts if "k_piece" in p]
+            held += [(_unpack_keys({n[2:]: x for n, x in p.items() if n[0] == "k"}), p["k_piece"]) for p in parts if "k_piece" in p]
             if announced:
                 anchor, piece = (np.concatenate([p[n] for p in announced]) for n in ("a_anchor", "a_piece"))
                 key = np.concatenate([_unpack_keys({n[2:]: x for n, x in p.items() if n[0] == "a"}) for p in announced])
@@ -236,18 +240,18 @@ def _verdicts(buckets: int):
                 new = _firsts(anchor, piece)
                 least = key[new][np.cumsum(new) - 1]
                 known = key > least
-                keys.append(key[known])
-                out.append(piece[known])
                 # holders of the distinct pieces of anchors that documents of different keys have
                 a, p, k = anchor[new], piece[new], key[new]
                 group = np.flatnonzero(_firsts(a))
                 low, high = np.minimum.reduceat(k, group), np.maximum.reduceat(k, group)
                 asked = np.repeat(low < high, np.diff(np.append(group, len(a))))
-                keys.append(k[asked])
-                out.append(p[asked] | np.uint64(1))
-            key, piece = np.concatenate(keys), np.concatenate(out)
-            if len(key):
-                yield _message_batch(_messages(_key_bucket(key, buckets), {"key": key, "piece": piece}, "v"))
+                held += [(key[known], piece[known]), (k[asked], p[asked] | np.uint64(1))]
+            size = sum(len(k) for k, _ in held)
+            if size >= FLUSH_PIECES:
+                yield flush(held)
+                held = []
+        if size:
+            yield flush(held) if held else _message_batch([])
 
     return verdicts
 

@@ -109,4 +109,4 @@ def boosted(hits: DataFrame, mentions: DataFrame, query_entities: DataFrame) ->
     best = near.groupBy("query_id", "id", "normalized", "kind").agg(F.max(match).alias("match"))
     boosts = best.groupBy("query_id", "id").agg(F.sum(F.col("match") * weights).alias("boost"))
     joined = hits.join(boosts, ["query_id", "id"], "left").join(sizes, "query_id", "left")
-    return joined.withColumn("score", F.round(0.7 * F.col("similarity") + 0.3 * F.coalesce(F.try_divide("boost", "n"), F.lit(0.0)), 6)).drop("boost", "n")
+    return joined.withColumn("score", 0.7 * F.col("similarity") + 0.3 * F.coalesce(F.try_divide("boost", "n"), F.lit(0.0))).drop("boost", "n")

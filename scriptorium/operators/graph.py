@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def co_occurrence(rows: DataFrame, item: str, group: str, least: int = 1) -> DataFrame:
     """(a, b, weight): pairs of items with the number of groups they share, a < b, at the least or above."""
-    once = rows.select(group, item).distinct()
-    left, right = once.select(group, F.col(item).alias("a")), once.select(group, F.col(item).alias("b"))
-    pairs = left.join(right, group).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    once = rows.select(F.col(group).alias("_group"), F.col(item).alias("_item")).distinct()
+    left, right = once.select("_group", F.col("_item").alias("a")), once.select("_group", F.col("_item").alias("b"))
+    pairs = left.join(right, "_group").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
     return pairs.filter(F.col("weight") >= least)
 
 

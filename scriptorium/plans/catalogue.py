@@ -1,4 +1,4 @@
 """Imports every query module, so that each registers its queries."""
 
-from scriptorium.plans import journal_queries, library_queries, search_queries, text_queries  # noqa: F401
+from scriptorium.plans import graph_queries, journal_queries, library_queries, search_queries, text_queries  # noqa: F401
 from scriptorium.plans.registry import ORACLES, QUERIES  # noqa: F401
