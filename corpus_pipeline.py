@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm import decontaminate, near_join, packing, suffix_dedup, toxicity
 from scriptorium.llm.storage import staged
@@ -48,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.drop(HASH)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _whole_characters(kept: pd.Series) -> pd.Series:
     """Bytes as text; of a character that is cut, nothing stays."""
     return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
