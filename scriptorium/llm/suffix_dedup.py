@@ -303,7 +303,8 @@ def _bucket_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[d
                 yield told, payload
 
 
-RANGES = "bucket int, payload binary, anchor long, key long, hash long, first long, text binary"
+#: firsts holds every place, as 64-bit integers, at which the document has the piece.
+RANGES = "bucket int, payload binary, anchor long, key long, hash long, firsts binary, text binary"
 
 
 def _answers(buckets: int):
@@ -338,17 +339,21 @@ def _answers(buckets: int):
                     ranges.append((np.full(n, doc_keys[i]), np.full(n, hashes[i]), first[u:v][known], first[u:v][known] + count[u:v][known] - 1 + LENGTH))
                 asked = np.isin(mine | np.uint64(1), verdict)
                 if asked.any():
-                    _, once = np.unique(mine[asked], return_index=True)
-                    for j in (u + np.flatnonzero(asked)[once]).tolist():
+                    at = u + np.flatnonzero(asked)
+                    at = at[np.argsort(piece[at], kind="stable")]
+                    starts = np.flatnonzero(_firsts(piece[at])).tolist()
+                    for low_at, high_at in zip(starts, [*starts[1:], len(at)]):
+                        j = at[low_at]
                         f = int(first[j])
-                        out.append((int(anchor[j].astype(np.int64)), int(doc_keys[i]), int(hashes[i]), f, texts[i][f : f + int(count[j]) - 1 + LENGTH]))
+                        places = first[at[low_at:high_at]].astype(np.int64).tobytes()
+                        out.append((int(anchor[j].astype(np.int64)), int(doc_keys[i]), int(hashes[i]), places, texts[i][f : f + int(count[j]) - 1 + LENGTH]))
             if ranges:
                 key, digest, u, v = (np.concatenate(x) for x in zip(*ranges))
                 rows = _messages(_key_bucket(key, buckets), {"key": key, "hash": digest, "first": u, "last": v}, "r")
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=[c.split()[0] for c in RANGES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in RANGES.split(", ")])
             if out:
                 columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=[c.split()[0] for c in RANGES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=[c.split()[0] for c in RANGES.split(", ")])
 
     return answers
 
@@ -432,9 +437,10 @@ def _decide(buckets: int):
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
         flags = repeated_windows([(key, text, anchor) for anchor, key, _, _, text in rows])
         out = []
-        for (_, key, digest, first, _), f in zip(rows, flags):
+        for (_, key, digest, firsts, _), f in zip(rows, flags):
             edge = np.flatnonzero(np.diff(f.astype(np.int8), prepend=0, append=0))
-            out += [(key, digest, first + u, first + v - 1 + LENGTH) for u, v in zip(edge[::2].tolist(), edge[1::2].tolist())]
+            for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                out += [(key, digest, first + u, first + v - 1 + LENGTH) for first in np.frombuffer(firsts, np.int64).tolist()]
         if not out:
             return None
         key, digest, u, v = (np.array(c, np.int64) for c in zip(*out))
@@ -504,7 +510,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     announced = docs.select("key", "text").mapInArrow(_announce(buckets), MESSAGE)
     verdicts = announced.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(buckets), MESSAGE)
     answered = staged(_by_bucket(docs, verdicts, buckets, partitions).mapInArrow(_answers(buckets), RANGES))
-    asked = answered.filter("text is not null").select("anchor", "key", "hash", "first", "text")
+    asked = answered.filter("text is not null").select("anchor", "key", "hash", "firsts", "text")
     decided = asked.repartition(partitions, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(_decide(buckets), MESSAGE)
     ranges = answered.filter("payload is not null").select("bucket", "payload").unionByName(decided)
     out = _by_bucket(docs, ranges, buckets, partitions).mapInArrow(_remove, "key long, text_hash long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary")
