@@ -1,4 +1,6 @@
-"""Loading of the Parquet tables that queries work on."""
+"""Loading of the Parquet tables that queries work on, and folders that all executors share."""
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -6,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; column pruning and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset (as in tests), below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return f"{base.rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
