@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 SLICE = 256
+#: Words that a worker remembers; less than elsewhere, as the task also sorts and writes.
+MEMORY_BYTES = 112 << 20
 
 
 def _encode(end_id: int, tokenizer: str | None):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from scriptorium.llm.tokens import encoder
 
-        codec, shard, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        codec, shard, at = encoder(tokenizer, MEMORY_BYTES), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for part in (b.slice(i, SLICE) for i in range(0, b.num_rows, SLICE)):

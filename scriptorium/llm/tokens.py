@@ -47,11 +47,11 @@ class Encoder:
         return [b"".join(g if w is None else map(known.__getitem__, w)) for w, g in zip(split, found)]
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+_ENCODERS: dict[tuple[str | None, int], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, most_bytes: int = 256 << 20) -> Encoder:
     """This worker's encoder of a tokenizers file; by default word_bpe_49k.json of public_tokenizers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most_bytes) not in _ENCODERS:
+        _ENCODERS[path, most_bytes] = Encoder(path, most_bytes)
+    return _ENCODERS[path, most_bytes]
