@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import tidy
 from scriptorium.llm.text import words_of
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 8 << 20
@@ -176,10 +177,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         rows = asked.filter(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {k}")).collect()  # about block_bytes
         block = Block.of([(r["item"], r["text"]) for r in rows], window, shingle)
         shared = spark.sparkContext.broadcast(block)
-        counted = texts.select("text").mapInArrow(lambda x, s=shared: _count(s.value)(x), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
+        counted = texts.select("text").mapInArrow(tidy(lambda x, s=shared: _count(s.value)(x)), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
         block.choose({(r["size"], r["shingle"]): r["n"] for r in counted.collect()}, shingle)  # at most the block's shingles
         shared = spark.sparkContext.broadcast(block)
-        part = texts.mapInArrow(lambda x, s=shared: _match(s.value)(x), f"{key} {kind}, n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")
+        part = texts.mapInArrow(tidy(lambda x, s=shared: _match(s.value)(x)), f"{key} {kind}, n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")
         found = part if found is None else found.unionByName(part)
     if blocks == 1:
         return found

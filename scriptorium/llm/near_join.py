@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.graph import components
-from scriptorium.llm.storage import staged
+from scriptorium.llm.storage import staged, tidy
 from scriptorium.llm.text import mix, word_hashes
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-7
@@ -242,7 +242,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     runs = runs_for(similarity=similarity) if runs is None else runs
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     hashed = docs.select("key", F.xxhash64("text").alias("text_hash"), "text")
-    rows = staged(hashed.mapInArrow(_sketch(size), f"key {kind}, text_hash long, members binary, hashes binary"))
+    rows = staged(hashed.mapInArrow(tidy(_sketch(size)), f"key {kind}, text_hash long, members binary, hashes binary"))
     sets = staged(
         rows.filter("members is not null").groupBy("members").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"), F.first("hashes").alias("hashes")).withColumn("set", F.monotonically_increasing_id())
     )
@@ -263,13 +263,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     # brute force in the buckets, on minimum hashes
     dealt = in_blocks(leaves, "path", "set", BLOCK).join(sets.select("set", "hashes"), "set")
     buckets = dealt.select("path", "i", "j", "own", "set", "hashes").repartition(partitions, "path", "i", "j").sortWithinPartitions("path", "i", "j", "set")
-    grouped = components(buckets.mapInArrow(_candidates, "a long, b long"))
+    grouped = components(buckets.mapInArrow(tidy(_candidates), "a long, b long"))
 
     # exact comparison in the candidate groups
     asked = grouped.join(sets.select(F.col("set").alias("node"), "first", "n", "members"), "node")
-    fetched = docs.join(asked, F.col("key").eqNullSafe(F.col("first"))).select("label", F.col("node").alias("set"), "n", "members", "text").mapInArrow(_refetch(size), "label long, set long, n long, shingles binary")
+    fetched = docs.join(asked, F.col("key").eqNullSafe(F.col("first"))).select("label", F.col("node").alias("set"), "n", "members", "text").mapInArrow(tidy(_refetch(size)), "label long, set long, n long, shingles binary")
     pairs = in_blocks(fetched.withColumnRenamed("n", "copies"), "label", "set", BLOCK).select("label", "i", "j", "own", "set", "copies", "shingles")
-    links = staged(pairs.repartition(partitions, "label", "i", "j").sortWithinPartitions("label", "i", "j", "set").mapInArrow(_verify(similarity), "set long, label long, links long"))
+    links = staged(pairs.repartition(partitions, "label", "i", "j").sortWithinPartitions("label", "i", "j", "set").mapInArrow(tidy(_verify(similarity)), "set long, label long, links long"))
     classes = components(links.select(F.col("set").alias("a"), F.col("label").alias("b")))
 
     # classes and counts of the sets, then of the rows

@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import staged
+from scriptorium.llm.storage import staged, tidy
 
 OPEN_WINDOWS, MERGED = 256, 16
+#: Words that a worker remembers while it packs.
+MEMORY_BYTES = 256 << 20
 
 
 class Packer:
@@ -94,11 +96,11 @@ def _placed(windows: list[list], base: int, number: int, task: int | None) -> tu
     return rows, number
 
 
-def _pack_texts(length: int, most_open: int, end_id: int, tokenizer: str | None, with_ids: bool):
+def _pack_texts(length: int, most_open: int, end_id: int, tokenizer: str | None, with_ids: bool, memory_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from scriptorium.llm.tokens import encoder
 
-        codec, task = encoder(tokenizer), TaskContext.get().partitionId()
+        codec, task = encoder(tokenizer, memory_bytes), TaskContext.get().partitionId()
         packer, base, number = Packer(length, most_open), task << 32, 0
         tail, kind = np.array([end_id], "<u4").tobytes(), None
         for b in batches:
@@ -146,11 +148,11 @@ def _merge(length: int, most_open: int, level: int, last: bool):
     return merge
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1, tokenizer: str | None = None, open_windows: int = OPEN_WINDOWS, with_ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1, tokenizer: str | None = None, open_windows: int = OPEN_WINDOWS, with_ids: bool = True, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, ids (little-endian, null unless asked for), sequence_id, offset."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long, task int"
-    first = staged(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_pack_texts(length, open_windows, end_id, tokenizer, with_ids), schema))
+    first = staged(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(_pack_texts(length, open_windows, end_id, tokenizer, with_ids, memory_bytes)), schema))
     out, level = first.filter("task is null"), 0
     left = first.filter("task is not null")
     tasks = (left.agg(F.max("task")).first()[0] or 0) + 1

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,6 +16,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function after which a worker, kept for further tasks, gives the memory it has freed back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # a C library without it
+            pass
+
+    return run
+
+
 def staged(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it back."""
     path = shared_folder(df.sparkSession)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.lyndon import suffix_array
-from scriptorium.llm.storage import staged
+from scriptorium.llm.storage import staged, tidy
 from scriptorium.llm.text import _BYTE, mix
 
 LENGTH, ANCHOR = 50, 16
@@ -285,7 +285,7 @@ def _documents(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 def _by_bucket(docs: DataFrame, messages: DataFrame, buckets: int, partitions: int) -> DataFrame:
     """Messages (kind 0) before the documents (kind 1) of each bucket."""
-    texts = docs.mapInArrow(_blobs(buckets), "bucket int, kind byte, payload binary")
+    texts = docs.mapInArrow(tidy(_blobs(buckets)), "bucket int, kind byte, payload binary")
     told = messages.select("bucket", F.lit(0).cast("byte").alias("kind"), "payload")
     return told.unionByName(texts).repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind")
 
@@ -507,11 +507,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("text_hash"))
-    announced = docs.select("key", "text").mapInArrow(_announce(buckets), MESSAGE)
-    verdicts = announced.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(buckets), MESSAGE)
-    answered = staged(_by_bucket(docs, verdicts, buckets, partitions).mapInArrow(_answers(buckets), RANGES))
+    announced = docs.select("key", "text").mapInArrow(tidy(_announce(buckets)), MESSAGE)
+    verdicts = announced.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_verdicts(buckets)), MESSAGE)
+    answered = staged(_by_bucket(docs, verdicts, buckets, partitions).mapInArrow(tidy(_answers(buckets)), RANGES))
     asked = answered.filter("text is not null").select("anchor", "key", "hash", "firsts", "text")
-    decided = asked.repartition(partitions, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(_decide(buckets), MESSAGE)
+    decided = asked.repartition(partitions, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(tidy(_decide(buckets)), MESSAGE)
     ranges = answered.filter("payload is not null").select("bucket", "payload").unionByName(decided)
-    out = _by_bucket(docs, ranges, buckets, partitions).mapInArrow(_remove, "key long, text_hash long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary")
+    out = _by_bucket(docs, ranges, buckets, partitions).mapInArrow(tidy(_remove), "key long, text_hash long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary")
     return out.withColumnRenamed("key", key)

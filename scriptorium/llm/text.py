@@ -18,6 +18,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+KEPT_POWERS = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,11 +28,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse; only the first KEPT_POWERS are kept for further calls."""
     if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(n + (n >> 1), base, np.uint64)
+        made = []
+        for base in (_BASE, _BASE_INVERSE):
+            p = np.full(n + (n >> 1) if n < KEPT_POWERS else n, base, np.uint64)
             p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
+            made.append(np.multiply.accumulate(p))
+        if n >= KEPT_POWERS:
+            return made[0], made[1]
+        _POWERS[:] = made
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import tidy
 from scriptorium.llm.text import mix, word_hashes
 
 BITS, MOST_ROWS, SHARD_ROWS, EPOCHS = 22, 24_000, 6_000, 10
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     shards = max(1, round(n / shard_rows))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(small, "key").select("key", "text", "label")
     dealt = rows.repartition(shards, F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards))).sortWithinPartitions(F.xxhash64("key"), "key", "text")
-    fitted = dealt.mapInArrow(_fit_shard, "places binary, weights binary, intercept double, rows long").collect()
+    fitted = dealt.mapInArrow(tidy(_fit_shard), "places binary, weights binary, intercept double, rows long").collect()
     total = sum(r["rows"] for r in fitted)
     if not total:
         return Model(none, none.astype(float), 0.0, ones / n)
@@ -129,7 +130,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """key, score of every row."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(lambda x: _score(shared.value)(x), f"{key} {kind}, score double")
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(tidy(lambda x: _score(shared.value)(x)), f"{key} {kind}, score double")
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
