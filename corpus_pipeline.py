@@ -75,8 +75,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs, with_ids=False).drop("ids")
+    """The pieces of all documents in sequences of 2048 tokens; workers that have run the other stages remember fewer words."""
+    return packing.pack(docs, with_ids=False, memory_bytes=64 << 20).drop("ids")
 
 
 STAGES = [
