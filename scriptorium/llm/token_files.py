@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 SLICE = 256
 #: Words that a worker remembers; less than elsewhere, as the task also sorts and writes.
-MEMORY_BYTES = 112 << 20
+MEMORY_BYTES = 160 << 20
 
 
 def _encode(end_id: int, tokenizer: str | None):
