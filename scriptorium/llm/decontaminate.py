@@ -6,8 +6,10 @@ shingles, its prefix is the rarest one: documents are joined on prefix shingles
 where the window would begin, windows that would begin before the first or end after the last word are
 dropped (positional and length bounds), and the rest are compared word by word.
 
-Documents are scanned where they lie, twice, without a shuffle of texts. The benchmark is gathered in
-blocks of bounded bytes; each block is matched against all documents, so a benchmark of any size works.
+Documents are scanned where they lie, twice, without a shuffle of texts. The benchmark's distinct rows are
+gathered in blocks of bounded bytes; each block is matched against all documents, so a benchmark of any size
+works. With several blocks the documents are staged with a number for each row, by which the blocks' results
+are merged: rows stay apart whatever their key and text.
 
 Defined results: a null or wordless text has no words and no hits; items that are null or wordless
 have no windows; a null item_id is written as the empty string; items of one id count once; an empty
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import tidy
+from scriptorium.llm.storage import staged, tidy
 from scriptorium.llm.text import words_of
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 8 << 20
@@ -148,7 +150,7 @@ def _match(block: Block):
         for b in batches:
             for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
                 n_words, spans, items = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     ids = _ids(block, text)
                     found = block.hits(ids) if len(ids) else []
                     mark = np.zeros(len(ids) + 1, np.int8)
@@ -159,7 +161,7 @@ def _match(block: Block):
                     spans.append([{"first": int(u), "last": int(v)} for u, v in zip(edges[::2], edges[1::2])])
                     items.append(sorted({x for k, _ in found for x in block.items[k]}))
                 span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=[part.schema.names[0], "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["row", "key", "n_words", "spans", "items"])
 
     return match
 
@@ -168,10 +170,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """One row per document: key, n_words, spans (first word, word after the last) that are hit, items with occurring windows."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(key, F.col(text).cast("string").alias("text"))
-    asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text"))
+    texts = docs.select(F.lit(0).cast("long").alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
+    if blocks > 1:
+        texts = staged(texts.withColumn("row", F.monotonically_increasing_id()))
     found = None
     for k in range(blocks):
         rows = asked.filter(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {k}")).collect()  # about block_bytes
@@ -180,16 +184,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         counted = texts.select("text").mapInArrow(tidy(lambda x, s=shared: _count(s.value)(x)), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
         block.choose({(r["size"], r["shingle"]): r["n"] for r in counted.collect()}, shingle)  # at most the block's shingles
         shared = spark.sparkContext.broadcast(block)
-        part = texts.mapInArrow(tidy(lambda x, s=shared: _match(s.value)(x)), f"{key} {kind}, n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")
-        found = part if found is None else found.unionByName(part)
+        part = texts.mapInArrow(tidy(lambda x, s=shared: _match(s.value)(x)), f"row long, key {kind}, n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")
+        # the first block gives every row, the others those with hits
+        found = part if found is None else found.unionByName(part.filter(F.size("spans") > 0))
     if blocks == 1:
-        return found
+        return found.select(F.col("key").alias(key), "n_words", "spans", "items")
     raise_spans = F.flatten(F.collect_list("spans"))
-    merged = found.groupBy(key, "n_words").agg(raise_spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = found.groupBy("row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), raise_spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     joined = F.expr("""
         aggregate(array_sort(spans), cast(array() as array<struct<first:bigint,last:bigint>>), (m, s) ->
             if(size(m) > 0 and element_at(m, -1).last >= s.first,
                concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'last', greatest(element_at(m, -1).last, s.last)))),
                concat(m, array(s))))
     """)
-    return merged.select(key, "n_words", joined.alias("spans"), F.array_sort("items").alias("items"))
+    return merged.select(F.col("key").alias(key), "n_words", joined.alias("spans"), F.array_sort("items").alias("items"))

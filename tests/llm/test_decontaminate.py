@@ -65,3 +65,19 @@ def test_random_texts(spark, block_bytes):
             parts += [rng.choice(items)[1], text(0, 20)]
         rows.append((k, " ".join(parts)))
     check(spark, rows, items, block_bytes=block_bytes)
+
+
+def test_rows_stay_apart_with_several_blocks(spark):
+    """Repeated rows, null keys, and rows of one key with different texts of as many words."""
+    clean, dirty = " ".join(f"c{i}" for i in range(13)), ITEMS[0][1]
+    rows = [*ODD_ROWS, (2, clean), (2, dirty), (None, clean), (None, dirty), (None, clean), (20, "word " + clean)]
+    check(spark, ODD_ROWS, ITEMS, block_bytes=200)
+    check(spark, rows, ITEMS, block_bytes=200)
+    check(spark, rows, ITEMS, block_bytes=40)
+
+
+def test_copies_of_an_item_are_gathered_once(spark, monkeypatch):
+    gathered, of = [], decontaminate.Block.of
+    monkeypatch.setattr(decontaminate.Block, "of", staticmethod(lambda rows, window, shingle: gathered.append(len(rows)) or of(rows, window, shingle)))
+    check(spark, ODD_ROWS, [ITEMS[0]] * 50, block_bytes=200)
+    assert gathered == [1]
