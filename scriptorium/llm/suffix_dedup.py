@@ -13,6 +13,10 @@ lossless filters bring together only what can match; suffix arrays decide.
    rest goes, each distinct text once, into a suffix array (see lyndon.py). Equal windows are neighbours
    in it; compared byte by byte, each run of equal ones gives its least key, and the windows of larger
    keys go.
+4. An anchor with more than GROUP_BYTES of asked pieces is decided in two steps. Where its pieces lie they
+   go, some ARRAY_BYTES at once, into suffix arrays; what no smaller key of the same array has is dealt
+   anew, each window by its hash, and meets the other arrays' windows of that hash. Equal windows still
+   meet, and a window that all documents have comes once from each array.
 
 Texts cross the network twice, compressed; everything else is hashes. A hot passage is reduced to one
 row per task before any shuffle.
@@ -41,7 +45,7 @@ from scriptorium.llm.text import _BYTE, mix
 
 LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
-SLICE_BYTES, FLUSH_PIECES, ARRAY_BYTES = 2 << 20, 600_000, 128 << 10
+SLICE_BYTES, FLUSH_PIECES, ARRAY_BYTES, GROUP_BYTES = 2 << 20, 600_000, 128 << 10, 1 << 20
 NONE = np.iinfo(np.int64).max  # stands for a null key
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -431,20 +435,30 @@ def repeated_windows(groups: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
     return flags
 
 
+def _range_rows(rows: list[tuple], flags: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """(key, hash, first, last) of the flagged windows of (group, key, hash, firsts, text) rows."""
+    out = []
+    for (_, key, digest, firsts, _), f in zip(rows, flags):
+        edge = np.flatnonzero(np.diff(f.astype(np.int8), prepend=0, append=0))
+        for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            out += [(key, digest, first + u, first + v - 1 + LENGTH) for first in np.frombuffer(firsts, np.int64).tolist()]
+    return out
+
+
+def _range_messages(ranges: list[tuple[int, int, int, int]], buckets: int) -> list[tuple[int, bytes]]:
+    if not ranges:
+        return []
+    key, digest, u, v = (np.array(c, np.int64) for c in zip(*ranges))
+    return _messages(_key_bucket(key, buckets), {"key": key, "hash": digest, "first": u, "last": v}, "r")
+
+
 def _decide(buckets: int):
-    """Suffix arrays over the asked pieces, whole anchors at a time."""
+    """Suffix arrays over the asked pieces, whole groups (anchors, or hashes of windows) at a time."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        flags = repeated_windows([(key, text, anchor) for anchor, key, _, _, text in rows])
-        out = []
-        for (_, key, digest, firsts, _), f in zip(rows, flags):
-            edge = np.flatnonzero(np.diff(f.astype(np.int8), prepend=0, append=0))
-            for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                out += [(key, digest, first + u, first + v - 1 + LENGTH) for first in np.frombuffer(firsts, np.int64).tolist()]
-        if not out:
-            return None
-        key, digest, u, v = (np.array(c, np.int64) for c in zip(*out))
-        return _message_batch(_messages(_key_bucket(key, buckets), {"key": key, "hash": digest, "first": u, "last": v}, "r"))
+        flags = repeated_windows([(key, text, group) for group, key, _, _, text in rows])
+        out = _range_messages(_range_rows(rows, flags), buckets)
+        return _message_batch(out) if out else None
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -469,6 +483,38 @@ def _decide(buckets: int):
     return decide
 
 
+def _thin(buckets: int, array_bytes: int):
+    """Suffix arrays over bounded parts of large anchors: the ranges found, and the other windows, each by its hash."""
+
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        flags = repeated_windows([(key, text, anchor) for anchor, key, _, _, text in rows])
+        if told := _range_messages(_range_rows(rows, flags), buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in told], pa.int32()), pa.array([r[1] for r in told], pa.binary()), *(pa.nulls(len(told), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in RANGES.split(", ")])
+        h16, h32 = _doubled(np.frombuffer(b"".join(r[4] for r in rows), np.uint8))
+        hashes = _window_hashes(h16, h32).astype(np.int64)
+        at, out = 0, []
+        for (_, key, digest, firsts, text), f in zip(rows, flags):
+            places = np.frombuffer(firsts, np.int64)
+            out += [(int(hashes[at + u]), key, digest, (places + u).tobytes(), text[u : u + LENGTH]) for u in np.flatnonzero(~f).tolist()]
+            at += len(text)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary()), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=[c.split()[0] for c in RANGES.split(", ")])
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                held.append(row)
+                size += len(row[4])
+                if size >= array_bytes:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return thin
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, told_by = None, {}
     for told, blob in _bucket_messages(batches):
@@ -501,7 +547,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()))], names=["key", "text_hash", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """One row per row: key, text_hash (xxhash64 of the text), n_bytes, spans (first byte, byte after the last) removed, kept bytes."""
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -511,7 +557,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     verdicts = announced.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_verdicts(buckets)), MESSAGE)
     answered = staged(_by_bucket(docs, verdicts, buckets, partitions).mapInArrow(tidy(_answers(buckets)), RANGES))
     asked = answered.filter("text is not null").select("anchor", "key", "hash", "firsts", "text")
+    told = answered.filter("payload is not null").select("bucket", "payload")
+    sizes = asked.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("n")).filter(f"n > {group_bytes}").select("anchor")
+    large = [r["anchor"] for r in sizes.collect()]  # at most one for each group_bytes of asked pieces
+    if large:
+        hot = F.broadcast(spark.createDataFrame([(x,) for x in large], "anchor long"))
+        parts = asked.join(hot, "anchor", "left_semi").select(*asked.columns).sortWithinPartitions("anchor")
+        thinned = staged(parts.mapInArrow(tidy(_thin(buckets, array_bytes)), RANGES))
+        told = told.unionByName(thinned.filter("payload is not null").select("bucket", "payload"))
+        asked = asked.join(hot, "anchor", "left_anti").select(*asked.columns).unionByName(thinned.filter("text is not null").select(*asked.columns))
     decided = asked.repartition(partitions, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(tidy(_decide(buckets)), MESSAGE)
-    ranges = answered.filter("payload is not null").select("bucket", "payload").unionByName(decided)
+    ranges = told.unionByName(decided)
     out = _by_bucket(docs, ranges, buckets, partitions).mapInArrow(tidy(_remove), "key long, text_hash long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary")
     return out.withColumnRenamed("key", key)

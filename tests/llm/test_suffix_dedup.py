@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 from frames import ODD_ROWS, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,8 +23,8 @@ def test_suffix_array_of_runs_and_powers():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-def check(spark, rows):
-    got = suffix_dedup.remove_repeats(documents(spark, rows)).collect()
+def check(spark, rows, **options):
+    got = suffix_dedup.remove_repeats(documents(spark, rows), **options).collect()
     assert len(got) == len(rows)
     want = []
     for (k, t), flags in zip(rows, brute.removed(rows)):
@@ -60,3 +61,47 @@ def test_runs_within_and_across_documents(spark):
 def test_hot_passage(spark):
     line = "this is one very frequent line that nearly every document of the table ends with, alas"
     check(spark, [(k, f"start {k} " * 5 + line) for k in range(300)])
+
+
+def fragment(rng, size):
+    """A string with a 16-byte hash so low that it is the anchor of most windows around it."""
+    tries = ("".join(rng.choice("ghijkl ") for _ in range(size)) for _ in range(300))
+    return min(tries, key=lambda x: suffix_dedup._doubled(np.frombuffer((x + "#" * 32).encode(), np.uint8))[0][: size - 15].min())
+
+
+def test_large_anchors_in_bounded_arrays(spark):
+    """A fragment next to varying and to repeated text, a hot line, null and repeated keys; every anchor of some pieces is split."""
+    rng = random.Random(8)
+    hot, line = fragment(rng, 30), "one line of sixty bytes and more that very many rows share!!"
+    word = lambda n: "".join(rng.choice("uvwxyz") for _ in range(n))
+    sides = [word(40) for _ in range(6)]
+    rows = []
+    for k in range(250):
+        left, right = (rng.choice(sides) if rng.random() < 0.4 else word(40) for _ in "ab")
+        rows.append((k // 2 if k % 13 else None, left + hot + right + (line + word(9) if k % 3 else "")))
+    check(spark, rows)
+    check(spark, rows, group_bytes=300, array_bytes=700)
+    check(spark, rows, group_bytes=0, array_bytes=1)
+
+
+def test_no_group_of_a_hot_fragment_is_large(spark, monkeypatch):
+    rng = random.Random(4)
+    hot = fragment(rng, 40)
+    decide = suffix_dedup._decide
+
+    def watched(buckets):
+        def watch(batches):
+            sizes = {}
+            for b in batches:
+                for group, text in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
+                    sizes[group] = sizes.get(group, 0) + len(text)
+                yield b
+            assert max(sizes.values(), default=0) <= 1 << 20, "a group of over a megabyte"
+
+        return lambda batches: decide(buckets)(watch(batches))
+
+    monkeypatch.setattr(suffix_dedup, "_decide", watched)
+    word = lambda: "".join(rng.choices("abcdefmnopqrstuvwxyz", k=60))
+    rows = [(k, word() + hot + word()) for k in range(16_000)]
+    got = suffix_dedup.remove_repeats(documents(spark, rows)).selectExpr("count(*) n", "sum(size(spans)) removed").first()
+    assert (got.n, got.removed) == (16_000, 0)
