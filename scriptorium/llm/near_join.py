@@ -243,8 +243,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     hashed = docs.select("key", F.xxhash64("text").alias("text_hash"), "text")
     rows = staged(hashed.mapInArrow(tidy(_sketch(size)), f"key {kind}, text_hash long, members binary, hashes binary"))
+    # held: the least text hash of the least key, null after the others
+    held = F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "text_hash"))["text_hash"]
     sets = staged(
-        rows.filter("members is not null").groupBy("members").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"), F.first("hashes").alias("hashes")).withColumn("set", F.monotonically_increasing_id())
+        rows.filter("members is not null").groupBy("members").agg(F.min("key").alias("first"), held.alias("held"), F.count(F.lit(1)).alias("n"), F.first("hashes").alias("hashes")).withColumn("set", F.monotonically_increasing_id())
     )
 
     # runs: down the paths
@@ -266,8 +268,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     grouped = components(buckets.mapInArrow(tidy(_candidates), "a long, b long"))
 
     # exact comparison in the candidate groups
-    asked = grouped.join(sets.select(F.col("set").alias("node"), "first", "n", "members"), "node")
-    fetched = docs.join(asked, F.col("key").eqNullSafe(F.col("first"))).select("label", F.col("node").alias("set"), "n", "members", "text").mapInArrow(tidy(_refetch(size)), "label long, set long, n long, shingles binary")
+    asked = grouped.join(sets.select(F.col("set").alias("node"), "first", "held", "n", "members"), "node")
+    fetched = hashed.join(asked, F.col("key").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("held"))).select("label", F.col("node").alias("set"), "n", "members", "text").mapInArrow(tidy(_refetch(size)), "label long, set long, n long, shingles binary")
     pairs = in_blocks(fetched.withColumnRenamed("n", "copies"), "label", "set", BLOCK).select("label", "i", "j", "own", "set", "copies", "shingles")
     links = staged(pairs.repartition(partitions, "label", "i", "j").sortWithinPartitions("label", "i", "j", "set").mapInArrow(tidy(_verify(similarity)), "set long, label long, links long"))
     classes = components(links.select(F.col("set").alias("a"), F.col("label").alias("b")))

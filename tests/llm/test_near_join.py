@@ -73,3 +73,28 @@ def test_intersections(n):
 def test_results_repeat(spark):
     rows = [(k, " ".join(f"w{(k // 3) * 7 + i}" for i in range(30))) for k in range(30)]
     assert found(documents(spark, rows)) == found(documents(spark, rows[::-1]))
+
+
+def test_rows_of_a_hot_key_meet_their_own_set_only(spark, monkeypatch):
+    """Null keys, and one key that many rows share: texts fetched grow with the rows, not with their square."""
+    refetch = near_join._refetch
+
+    def watched(size):
+        def watch(batches):
+            n = 0
+            for b in batches:
+                n += b.num_rows
+                assert n <= 1000, "texts fetched for sets that aren't theirs"
+                yield b
+
+        return lambda batches: refetch(size)(watch(batches))
+
+    monkeypatch.setattr(near_join, "_refetch", watched)
+    rows = []
+    for k in range(120):
+        base = [f"w{k}x{i}" for i in range(60)]
+        rows += [(None if k % 2 else 7, " ".join([*base, end])) for end in ("one", "two")]
+    rows += rows[:4] + [(5, rows[0][1])]
+    got = found(documents(spark, rows))
+    monkeypatch.undo()
+    assert got == brute.near_duplicates(rows)
