@@ -1,7 +1,8 @@
 """Removal of byte strings that an earlier document has, by suffix arrays.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller key. Three
-lossless filters bring together only what can match; suffix arrays decide.
+lossless filters bring together only what can match; suffix arrays decide, except for whole pieces that
+have the same 63-bit hash (step 2), which go without a comparison of bytes.
 
 1. Every 50-byte string (window) is assigned to the least 16-byte hash in it, its anchor; the strings of
    one anchor in a row form a piece of at most 84 bytes. Equal windows have equal anchors. Anchor and
