@@ -36,9 +36,9 @@ _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Lower-cased code points of the basic plane, 32 for all that aren't letters."""
+    """Lower-cased code points, 32 for all that aren't letters."""
     if not _LETTERS:
-        _LETTERS.append(np.array([ord(c.lower()[0]) if (c := chr(i)).isalpha() else 32 for i in range(1 << 16)], np.uint32))
+        _LETTERS.append(np.array([ord(c.lower()[0]) if (c := chr(i)).isalpha() else 32 for i in range(0x110000)], np.uint32))
     return _LETTERS[0]
 
 
@@ -46,8 +46,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(number of the text, place) of each trigram with a letter in the middle, and whether each text has a letter."""
     parts = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
     joined = np.frombuffer(b"\x20\0\0\0".join([b"", *parts, b""]), np.uint32)
-    points = np.where(joined < 1 << 16, _letters()[joined & 0xFFFF], joined)
-    points = np.where((joined >= 1 << 16) & (joined < 0x20000), np.uint32(32), points)
+    points = _letters()[joined]
     sizes = np.array([len(x) // 4 + 1 for x in parts], np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)  # a text's characters and the space after it
     middle = points[1 : 1 + len(owner)]

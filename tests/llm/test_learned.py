@@ -45,6 +45,14 @@ def test_language_without_learnable_rows(spark):
     assert {r.lang_pred for r in langid.languages(documents(spark, ODD_ROWS), model).collect()} == {"und"}
 
 
+def test_letters_beyond_the_basic_plane():
+    """Adlam, Deseret, Gothic, mathematical letters and rare ideographs are letters; flags' tags and variation selectors aren't."""
+    letters = ["\U0001e900\U0001e901", "\U00010400", "\U00010330", "\U0001d400", "\U00020000", "\U00030000"]
+    others = ["\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U000e0100", "\U0001f642", "\U0010ffff", None]
+    assert langid.trigrams(letters + others)[2].tolist() == [True] * len(letters) + [False] * len(others)
+    assert (langid.trigrams(["\U00010400"])[1] == langid.trigrams(["\U00010428"])[1]).all()
+
+
 def test_toxicity_of_held_out_documents(spark):
     got = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, SF).collect()}
     labels = duckdb.sql(f"select doc_id, max(toxic) from '{SF}/labels.parquet' where toxic is not null group by 1").fetchall()
