@@ -2,9 +2,10 @@
 
 A language is a distribution over hashed letter trigrams (lower case, anything but letters as a space),
 counted over all learnable documents. A document is a mixture of languages: expectation-maximisation
-estimates their proportions from the trigrams' likelihoods. Sets of languages of growing size, best first,
-are compared by log likelihood less ``PENALTY`` times the logarithm of the number of trigrams for each
-further language, and the best set's proportions are the result.
+estimates their proportions from the trigrams' likelihoods. Sets of languages of all sizes are compared by
+log likelihood less ``PENALTY`` times the logarithm of the number of trigrams for each further language, and
+the best set's proportions are the result. The sets of two and more are nested: those of the greatest
+proportions in the mixture of all languages; other sets of that size are not compared.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no proportions; ties
 between languages go to the first in alphabetical order; without any learnable document every row is
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, BLOCK, SMOOTHING, ROUNDS, PENALTY, MOST_LANGUAGES = 15, 4096, 0.5, 25, 12.0, 4
+BITS, BLOCK, SMOOTHING, ROUNDS, PENALTY = 15, 4096, 0.5, 25, 12.0
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -137,7 +138,7 @@ def proportions(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.n
         # only texts that the mixture of all explains better than one language by the price of one more go on
         fitted = base + np.add.reduceat(np.log(np.maximum((like * full[owner]).sum(axis=1), 1e-300)) * count, starts)
         open_ = fitted - price > value
-        for size in range(2, min(n, MOST_LANGUAGES) + 1):
+        for size in range(2, n + 1):
             if not open_.any():
                 break
             allowed = np.zeros((len(which), n))

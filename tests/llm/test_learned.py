@@ -45,6 +45,14 @@ def test_language_without_learnable_rows(spark):
     assert {r.lang_pred for r in langid.languages(documents(spark, ODD_ROWS), model).collect()} == {"und"}
 
 
+def test_mixture_of_more_than_four_languages(spark):
+    words = ["aba bab ", "cdc dcd ", "efe fef ", "ghg hgh ", "iji jij ", "klk lkl "]
+    model = langid.fit(spark.createDataFrame([(w * 50, w[0]) for w in words], "text string, lang string"))
+    for n in (5, 6):
+        share, _ = langid.proportions(["".join(w * 40 for w in words[:n])], model)
+        assert share[0] == pytest.approx([1 / n] * n + [0] * (6 - n), abs=0.03)
+
+
 def test_letters_beyond_the_basic_plane():
     """Adlam, Deseret, Gothic, mathematical letters and rare ideographs are letters; flags' tags and variation selectors aren't."""
     letters = ["\U0001e900\U0001e901", "\U00010400", "\U00010330", "\U0001d400", "\U00020000", "\U00030000"]
