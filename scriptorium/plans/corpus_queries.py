@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
@@ -15,14 +15,17 @@ _SQL = lambda s: s.replace("'", "''")
 
 #: Documents hold no citations, keys or links of their own, so some are put after each text.
 CITED = """coalesce(text, '') || ' As Durand (' || (1900 + doc_id % 120) || ') and (Martin and Petit, ' || (1950 + doc_id % 70) || 'a) say.'"""
-_CITED = F.concat(ft.present("text"), F.lit(" As Durand ("), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(") and (Martin and Petit, "), (1950 + F.col("doc_id") % 70).cast("string"), F.lit("a) say."))
 
 _FOUND = " union ".join(f"select doc_id, unnest(regexp_extract_all(t, '{_SQL(s)}', 1)) as author, unnest(regexp_extract_all(t, '{_SQL(s)}', 2)) as year from d" for s in citations.SHAPES)
 
 
+def _cited() -> Column:
+    return F.concat(ft.present("text"), F.lit(" As Durand ("), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(") and (Martin and Petit, "), (1950 + F.col("doc_id") % 70).cast("string"), F.lit("a) say."))
+
+
 @query("citations_extracted", f"with d as (select doc_id, {CITED} as t from documents) select distinct doc_id, author, year from ({_FOUND})")
 def citations_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", _CITED.alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _cited().alias("text"))
     return citations.extract(docs).select("doc_id", "author", "year")
 
 
@@ -32,7 +35,7 @@ def citations_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     select count(*) as citations, count(distinct author) as authors, min(n) filter (n between 1500 and 2100) as first_year, max(n) filter (n between 1500 and 2100) as last_year, count(*) as with_context from y""",
 )
 def citation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.statistics(citations.extract(table(spark, sf_dir, "documents").select("doc_id", _CITED.alias("text"))))
+    return citations.statistics(citations.extract(table(spark, sf_dir, "documents").select("doc_id", _cited().alias("text"))))
 
 
 @query(
@@ -52,7 +55,11 @@ def citation_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KEYED = "coalesce(text, '') || ' see @key' || (doc_id % 50) || ', @other.key; and @key' || (doc_id % 50) || '.'"
-_KEYED = F.concat(ft.present("text"), F.lit(" see @key"), (F.col("doc_id") % 50).cast("string"), F.lit(", @other.key; and @key"), (F.col("doc_id") % 50).cast("string"), F.lit("."))
+
+
+def _keyed() -> Column:
+    key = (F.col("doc_id") % 50).cast("string")
+    return F.concat(ft.present("text"), F.lit(" see @key"), key, F.lit(", @other.key; and @key"), key, F.lit("."))
 
 
 @query(
@@ -62,7 +69,7 @@ _KEYED = F.concat(ft.present("text"), F.lit(" see @key"), (F.col("doc_id") % 50)
 )
 def missing_citation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as chapters; the bibliography has forty of the fifty keys."""
-    chapters = table(spark, sf_dir, "documents").select(F.col("source").alias("chapter"), _KEYED.alias("text"))
+    chapters = table(spark, sf_dir, "documents").select(F.col("source").alias("chapter"), _keyed().alias("text"))
     bibliography = spark.range(40).select(F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
     return citations.missing_keys(chapters, bibliography).withColumn("chapters", F.array_join("chapters", ","))
 

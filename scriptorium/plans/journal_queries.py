@@ -120,9 +120,9 @@ def weekly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("week").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("report"))
 
 
-@query("daily_activity", "select strftime(ts, '%Y-%m-%d') as day, count(*) as events, count(distinct user_id) as users, round(avg(value), 6) as mean_value from events group by 1")
+@query("daily_activity", "select strftime(ts, '%Y-%m-%d') as day, count(*) as events, count(distinct user_id) as users, round(cast(sum(cast(value as decimal(20, 4))) as double) / count(value), 4) as mean_value from events group by 1")
 def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.round(F.sum(F.col("value").cast("decimal(20,4)")).cast("double") / F.count("value"), 4).alias("mean_value"))
 
 
 @query(
