@@ -8,9 +8,11 @@ Template, a message being adjacent turns of one role::
 Inside texts ``<``, any number of ``~``, ``|`` gets one more ``~``, so no text holds ``<|``; taking
 one away gives the text back. Roles are written with ``%``, ``<`` and line ends as ``%25``, ``%3C``, ``%0A``.
 
-Defined results: turns are ordered by turn, then role, then text, nulls first, so ties and repeated
-rows have one order and each counts; a null text or role is empty; rows of a null conversation form
-one conversation; an empty table gives an empty table; columns that aren't named are ignored.
+Defined results: turns are ordered by turn, then role, then text (as it is, not as escaped), nulls first,
+so ties and repeated rows have one order and each counts; a null text or role is empty; rows of a null
+conversation form one conversation; an empty table gives an empty table; columns that aren't named are
+ignored. A conversation is one value of the result, so its turns must fit a row (2 GB); texts may have any
+length within that. Merging is linear in the turns, and sums of lengths are taken chunk by chunk.
 """
 
 from __future__ import annotations
@@ -41,53 +43,52 @@ def format_chat(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: s
     """One row per conversation: key, n_messages, formatted, and the loss mask as (first, length) spans of code points."""
     turns = df.select(
         F.col(key).alias("key"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), escape(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text")).alias("t"),
+        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"),
     )
     sorted_turns = turns.groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    empty = "cast(array() as array<struct<role:string,texts:array<string>>>)"
-    merged = sorted_turns.select(
-        "key",
-        F.expr(f"""
-            aggregate(turns, {empty}, (m, t) ->
-                if(size(m) > 0 and element_at(m, -1).role = t.role,
-                   concat(slice(m, 1, size(m) - 1), array(named_struct('role', t.role, 'texts', concat(element_at(m, -1).texts, array(t.text))))),
-                   concat(m, array(named_struct('role', t.role, 'texts', array(t.text))))))
-        """).alias("messages"),
-    )
+    escaped = sorted_turns.select("key", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
+    # a message begins where the role differs from that of the turn before
+    begun = escaped.withColumn("starts", F.expr("filter(sequence(1, size(turns)), i -> not (get(turns, i - 1).role <=> get(turns, i - 2).role))"))
+    merged = begun.select("key", F.expr("transform(starts, (s, j) -> slice(turns, s, coalesce(get(starts, j + 1), size(turns) + 1) - s))").alias("messages"))
     rendered = merged.select(
         "key",
-        "messages",
         F.transform(
             "messages",
             lambda m: F.struct(
-                (m["role"] == trained_role).alias("trained"),
-                F.concat(F.lit(START), _role_out(m["role"]), F.lit("\n")).alias("head"),
-                F.array_join(m["texts"], SEP).alias("body"),
-                m["texts"].alias("texts"),
+                (F.get(m, F.lit(0))["role"] == trained_role).alias("trained"),
+                F.concat(F.lit(START), _role_out(F.get(m, F.lit(0))["role"]), F.lit("\n")).alias("head"),
+                F.array_join(F.transform(m, lambda t: t["text"]), SEP).alias("body"),
+                F.transform(m, lambda t: F.length(t["text"])).alias("lengths"),
             ),
         ).alias("parts"),
     )
     tail = len(END) + 1
-    spans = f"""
-        aggregate(parts, named_struct('at', 0, 'spans', cast(array() as array<struct<first:int,length:int>>)), (a, p) ->
-            named_struct(
-                'at', a.at + length(p.head) + length(p.body) + {tail},
-                'spans', if(p.trained,
-                    concat(a.spans, aggregate(p.texts,
-                        named_struct('at', a.at + length(p.head), 'spans', cast(array() as array<struct<first:int,length:int>>)),
-                        (b, x) -> named_struct('at', b.at + length(x) + {len(SEP)}, 'spans', concat(b.spans, array(named_struct('first', b.at, 'length', length(x))))),
-                        b -> b.spans)),
-                    a.spans)),
-            a -> a.spans)
+    at = rendered.withColumn("at", F.expr(_before(f"transform(parts, p -> length(p.head) + length(p.body) + {tail})")))
+    placed = at.withColumn("inner", F.expr(f"transform(parts, p -> if(p.trained, {_before(f'transform(p.lengths, n -> n + {len(SEP)})')}, cast(array() as array<int>)))"))
+    spans = """
+        flatten(zip_with(sequence(0, size(parts) - 1), inner, (k, places) ->
+            transform(places, (o, j) -> named_struct('first', get(at, k) + length(get(parts, k).head) + o, 'length', get(get(parts, k).lengths, j)))))
     """
-    return rendered.select(
+    return placed.select(
         F.col("key").alias(key),
-        F.size("messages").alias("n_messages"),
+        F.size("parts").alias("n_messages"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "").alias("formatted"),
         F.expr(spans).alias("loss_spans"),
     )
 
 
+def _before(lengths: str, chunk: int = 512) -> str:
+    """SQL: for each of an array of lengths the sum of those before it. Arrays grow within a chunk, and by whole chunks, only."""
+    none = "cast(array() as array<int>)"
+    return f"""
+        aggregate({lengths}, named_struct('at', 0, 'held', {none}, 'done', cast(array() as array<array<int>>)), (a, n) ->
+            if(size(a.held) < {chunk - 1},
+               named_struct('at', a.at + n, 'held', concat(a.held, array(a.at)), 'done', a.done),
+               named_struct('at', a.at + n, 'held', {none}, 'done', concat(a.done, array(concat(a.held, array(a.at)))))),
+            a -> concat(flatten(a.done), a.held))
+    """
+
+
 def parse_chat(df: DataFrame, key: str = "conv_id", formatted: str = "formatted", loss_spans: str = "loss_spans") -> DataFrame:
     """Read a formatted conversation back: key, turns (role, text in order) and loss_text, the unescaped text under the mask."""
     messages = F.filter(F.split(F.col(formatted), r"<\|im_end\|>\n"), lambda m: m != "")

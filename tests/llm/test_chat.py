@@ -17,6 +17,9 @@ ROWS = [
     (5, 0, "user", "tie b"),
     (5, 0, "user", "tie a"),
     (5, 0, "user", "tie a"),
+    (5, 1, "user", "<}"),
+    (5, 1, "user", "<|"),
+    (5, 1, "user", "<~|"),
     (6, 0, "assistant", ""),
     (7, 0, "assistant", "long " * 50_000),
     (None, 0, "user", "no conversation"),
@@ -47,6 +50,15 @@ def test_adjacent_turns_of_one_role_merge(spark):
     assert got[2].formatted.count("<|im_start|>") == 2
 
 
+def test_long_conversations(spark):
+    """Many turns: spans and merges over several chunks of the running sums."""
+    rows = [(1, k, "assistant" if k % 3 else "user", f"turn {k} <|im_sep|>") for k in range(3000)] + [(2, k, "assistant", "x" * (k % 5)) for k in range(1500)]
+    got = {r.conv_id: r for r in chat.parse_chat(chat.format_chat(table(spark, rows))).collect()}
+    for c in (1, 2):
+        assert [(t.role, t.text) for t in got[c].turns] == [(role, text) for k, _, role, text in rows if k == c]
+        assert got[c].loss_text == "".join(text for k, _, role, text in rows if k == c and role == "assistant")
+
+
 def test_empty_table(spark):
     assert chat.parse_chat(chat.format_chat(table(spark, []))).collect() == []
 
