@@ -7,7 +7,8 @@ reads the samples back through those byte ranges.
 
 Defined results: a null text is the empty text; the payload is never empty, as filler bytes 255 bring
 it to a positive multiple of 576; a media value that is null or not Matroska has no packets, and its
-``error`` says why; a file cut short yields the packets before the cut and an error. Only the key and
+``error`` says why; a file cut short yields the packets before the cut and an error; a very long text or
+file is worked on whole, on its own. Only the key and
 the named column are read, so further columns with any names do no harm; repeated rows and an empty
 table give repeated rows and an empty table.
 """
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import slices, tidy
+
 PACKET = 576
 RATE = 48_000
 PACKET_NS = PACKET * 1_000_000_000 // RATE
@@ -37,9 +40,10 @@ EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, TIMESTAMP_SCALE = 0x18538067, 0x1549A966, 0x2AD7B1
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
+VALUES = {TIMESTAMP, TIMESTAMP_SCALE, TRACK_NUMBER, DEFAULT_DURATION, CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION, BLOCK_DURATION}
 #: Elements whose start ends a cluster of unknown size.
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 
@@ -181,22 +185,48 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
 
 
 def parse(data: bytes | None) -> dict:
-    """Packets (track, cluster, lacing, keyframe, timestamp_ns, offset, size), cues, and what went wrong, if anything."""
+    """Packets (track, cluster, lacing, keyframe, timestamp_ns, offset, size), cues, and what went wrong, if anything.
+
+    A block of a group is a keyframe unless the group refers to another block. Laced frames follow each
+    other by their track's default duration or, without one, by their share of the block's duration.
+    """
     packets, cues, error = [], [], None
-    scale, durations, track, cluster, base, cue, segment, group = SCALE, {}, None, -1, 0, [0, 0], 0, False
+    scale, durations, track, cluster, base, cue, segment = SCALE, {}, None, -1, 0, [0, 0], 0
+    group: dict | None = None  # of the block group that is open
+
+    def close() -> None:
+        for first, last, number in group["blocks"]:
+            step = durations.get(number) or (group["duration"] or 0) * scale // max(1, last - first)
+            for k in range(first, last):
+                t, c, lacing, _, at, o, n = packets[k]
+                packets[k] = (t, c, lacing, not group["refers"], at + (k - first) * step, o, n)
+
     try:
         if not data or not data.startswith(EBML.to_bytes(4, "big")):
             raise ValueError("no EBML header")
         for ident, _, at, end in elements(data):
+            if group is not None and at > group["end"]:
+                close()
+                group = None
             if ident in (SIMPLE_BLOCK, BLOCK):
                 number, p = _vint(data, at, False)
                 tick, flags = struct.unpack_from(">hB", data, p)
-                lacing = flags >> 1 & 3
+                lacing, first = flags >> 1 & 3, len(packets)
+                step = durations.get(number, 0) if ident == SIMPLE_BLOCK or group is None else 0
                 for k, (o, n) in enumerate(_frames(data, p + 3, end, lacing)):
-                    packets.append((number, cluster, lacing, bool(flags & 0x80) or ident == BLOCK, (base + tick) * scale + k * durations.get(number, 0), o, n))
-            elif ident in (TIMESTAMP, TIMESTAMP_SCALE, TRACK_NUMBER, DEFAULT_DURATION, CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION):
+                    packets.append((number, cluster, lacing, bool(flags & 0x80) or ident == BLOCK, (base + tick) * scale + k * step, o, n))
+                if ident == BLOCK and group is not None:
+                    group["blocks"].append((first, len(packets), number))
+            elif ident == BLOCK_GROUP:
+                group = {"end": end, "blocks": [], "refers": False, "duration": None}
+            elif ident == REFERENCE_BLOCK and group is not None:
+                group["refers"] = True
+            elif ident in VALUES:
                 value = int.from_bytes(data[at:end], "big")
-                if ident == TIMESTAMP:
+                if ident == BLOCK_DURATION:
+                    if group is not None:
+                        group["duration"] = value
+                elif ident == TIMESTAMP:
                     base = value
                 elif ident == TIMESTAMP_SCALE:
                     scale = value
@@ -216,6 +246,8 @@ def parse(data: bytes | None) -> dict:
                 segment = at
     except (ValueError, IndexError, struct.error) as e:
         error = str(e)
+    if group is not None:
+        close()
     return {"packets": packets, "cues": cues, "error": error}
 
 
@@ -228,32 +260,30 @@ def _padded(text: str | None) -> bytes:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-            media = pa.array([write_file(_padded(t)) for t in part.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), media], names=[part.schema.names[0], "media"])
+    for part in slices(batches, 1):
+        media = pa.array([write_file(_padded(t)) for t in part.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), media], names=[part.schema.names[0], "media"])
 
 
 def encode_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, media: each whole text as UTF-8, filled up with bytes 255, in a Matroska file."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(_encode, f"{key} {kind}, media binary")
+    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(tidy(_encode), f"{key} {kind}, media binary")
 
 
 def _rows(kind: str):
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
-                found = [parse(x)[kind] for x in part.column(1).to_pylist()]
-                index = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]), pa.int64())
-                flat = [r for x in found for r in x]
-                if kind == "packets":
-                    types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-                    names = list(PACKET_FIELDS)
-                else:
-                    types, names = (pa.int64(), pa.int64(), pa.int64()), ["track", "timestamp_ns", "cluster_offset"]
-                columns = [pa.array([r[i] for r in flat], t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(index), *columns], names=[part.schema.names[0], *names])
+        for part in slices(batches, 1, most_rows=64):
+            found = [parse(x)[kind] for x in part.column(1).to_pylist()]
+            index = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]), pa.int64())
+            flat = [r for x in found for r in x]
+            if kind == "packets":
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+                names = list(PACKET_FIELDS)
+            else:
+                types, names = (pa.int64(), pa.int64(), pa.int64()), ["track", "timestamp_ns", "cluster_offset"]
+            columns = [pa.array([r[i] for r in flat], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(index), *columns], names=[part.schema.names[0], *names])
 
     return explode
 
@@ -261,13 +291,13 @@ def _rows(kind: str):
 def packet_table(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per packet of each media value: track, cluster, lacing, keyframe, timestamp and byte range."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(media).alias("media")).mapInArrow(_rows("packets"), f"{key} {kind}, track long, cluster int, lacing int, keyframe boolean, timestamp_ns long, offset long, size long")
+    return df.select(key, F.col(media).alias("media")).mapInArrow(tidy(_rows("packets")), f"{key} {kind}, track long, cluster int, lacing int, keyframe boolean, timestamp_ns long, offset long, size long")
 
 
 def cue_table(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per cue of each media value: track, time, and the byte at which its cluster begins."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(media).alias("media")).mapInArrow(_rows("cues"), f"{key} {kind}, track long, timestamp_ns long, cluster_offset long")
+    return df.select(key, F.col(media).alias("media")).mapInArrow(tidy(_rows("cues")), f"{key} {kind}, track long, timestamp_ns long, cluster_offset long")
 
 
 def _feature(samples: np.ndarray, parsed: dict) -> str:
@@ -278,18 +308,17 @@ def _feature(samples: np.ndarray, parsed: dict) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-            out = []
-            for x in part.column(1).to_pylist():
-                parsed = parse(x)
-                payload = b"".join([x[o : o + n] for *_, o, n in parsed["packets"]])
-                samples = np.frombuffer(payload, np.uint8)
-                media = x or b""
-                out.append((len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(samples, parsed), len(parsed["packets"]), parsed["error"]))
-            columns = list(zip(*out)) or [()] * 9
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=[part.schema.names[0], *FEATURES])
+    for part in slices(batches, 1):
+        out = []
+        for x in part.column(1).to_pylist():
+            parsed = parse(x)
+            payload = b"".join([x[o : o + n] for *_, o, n in parsed["packets"]])
+            samples = np.frombuffer(payload, np.uint8)
+            media = x or b""
+            out.append((len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(samples, parsed), len(parsed["packets"]), parsed["error"]))
+        columns = list(zip(*out)) or [()] * 9
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=[part.schema.names[0], *FEATURES])
 
 
 FEATURES = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets", "error")
@@ -302,4 +331,4 @@ def media_features(df: DataFrame, key: str = "doc_id", media: str = "media") ->
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets int, error string"
-    return df.select(key, F.col(media).alias("media")).mapInArrow(_features, schema)
+    return df.select(key, F.col(media).alias("media")).mapInArrow(tidy(_features), schema)

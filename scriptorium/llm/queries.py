@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a Matroska file, read back through its packets."""
-    media = matroska.encode_media(_table(spark, sf_dir, "documents"))
-    return matroska.media_features(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets")
+    """Every document as a Matroska file, stored, then read back through its packets."""
+    media = staged(matroska.encode_media(_table(spark, sf_dir, "documents")), {"compression": "zstd"})
+    found = matroska.media_features(media)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", _read_whole(found, "feature"), "n_packets")
+
+
+def _read_whole(found: DataFrame, column: str) -> Column:
+    """The column, if nothing went wrong in reading its row; else the query fails."""
+    failed = F.raise_error(F.concat(F.lit("unreadable: "), F.col("error")))
+    return F.when(F.col("error").isNotNull(), failed).otherwise(found[column]).alias(column)
 
 
 @_query
@@ -104,8 +111,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as records of Zstandard archives, read back."""
     archives = staged(warc.write_archives(_table(spark, sf_dir, "pages")))
     found = warc.read_archives(archives, with_payload=False)
-    failed = F.raise_error(F.concat(F.lit("unreadable record: "), F.col("error")))
-    return found.select("page_id", "payload_bytes", "payload_digest", F.when(F.col("error").isNotNull(), failed).otherwise(F.col("record_type")).alias("record_type"), "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", _read_whole(found, "record_type"), "refers_to")
 
 
 ORACLES["op6_warc"] = """
@@ -166,8 +172,8 @@ from d left join words using (r) left join items using (r)
 
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 2048 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    """All documents packed into sequences of 2048 tokens; the pieces are read back from the packed ids."""
+    return packing.pieces(packing.pack(_table(spark, sf_dir, "documents")))
 
 
 @_query

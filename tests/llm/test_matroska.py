@@ -6,6 +6,7 @@ import pytest
 from frames import ODD_ROWS, documents
 
 from scriptorium.llm import matroska as m
+from scriptorium.llm.queries import QUERIES
 
 
 def test_features_read_the_texts_back(spark):
@@ -65,6 +66,37 @@ def test_unknown_sizes_and_block_groups():
     assert [(p[1], p[4]) for p in found["packets"]] == [(0, 15_000_000), (1, 25_000_000)]
 
 
+def in_group(*parts):
+    cluster = m._element(m.CLUSTER, m._uint(m.TIMESTAMP, 10) + m._element(m.BLOCK_GROUP, b"".join(parts)) + m._element(m.SIMPLE_BLOCK, b"\x82" + struct.pack(">hB", 9, 0) + b"z"))
+    return m.parse(m._HEAD + m._element(m.SEGMENT, m._INFO + cluster))
+
+
+def test_references_and_durations_of_block_groups():
+    frames = m._element(m.BLOCK, block(m.FIXED, [b"abc", b"def", b"ghi"], 2))
+    duration, refers = m._uint(m.BLOCK_DURATION, 6), m._element(m.REFERENCE_BLOCK, b"\xfb")
+    times = [12_000_000, 14_000_000, 16_000_000]
+    for parts, keyframe in (([frames, duration], True), ([duration, frames], True), ([frames, refers, duration], False), ([refers, duration, frames], False)):
+        found = in_group(*parts)
+        assert found["error"] is None
+        assert [(p[3], p[4]) for p in found["packets"]] == [(keyframe, t) for t in times] + [(False, 19_000_000)]
+    assert [p[4] for p in in_group(frames)["packets"]] == [12_000_000] * 3 + [19_000_000]
+
+
+def test_query_over_a_table(spark):
+    """op1 against the texts of the whole smallest table."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in QUERIES["op1_matroska"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for k, t in rows:
+        raw = (t or "").encode()
+        padded = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        media = m.write_file(padded)
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        assert (r.media_bytes, r.media_sha256, r.n_packets) == (len(media), hashlib.sha256(media).hexdigest(), len(padded) // 576)
+
+
 def test_damaged_media(spark):
     data = m.write_file(b"x" * 576 * 40)
     rows = [(1, None), (2, b""), (3, b"no media"), (4, data[:-3000]), (5, data)]

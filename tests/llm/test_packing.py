@@ -6,6 +6,9 @@ from frames import ODD_ROWS, documents
 from tokenizers import Tokenizer
 
 from scriptorium.llm import packing
+from scriptorium.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -19,13 +22,18 @@ def ids_of(tokenizer, text, end):
     return array("I", [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]).tobytes()
 
 
-def check(got, rows, tokenizer, length=2048):
-    """Every id lies in one piece, and sequences are gapless."""
+def check(sequences, rows, tokenizer, length=2048):
+    """Every id lies in one piece, sequences are gapless, and the pieces read back are those of the packed ids."""
     want = sorted((k is None, k or 0, ids_of(tokenizer, t, 1)) for k, t in rows)
-    texts = {}
+    packed = {r.sequence_id: r for r in sequences.collect()}
+    got = packing.pieces(sequences).collect()
+    assert len(got) == sum(len(r.pieces) for r in packed.values())
+    texts, placed = {}, {}
     for r in got:
-        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
-        texts.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, bytes(r.ids)))
+        ids = bytes(packed[r.sequence_id].ids[4 * r.offset : 4 * (r.offset + r.length)])
+        assert zlib.crc32(ids) == r.ids_crc32 and len(ids) == 4 * r.length
+        texts.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, ids))
+        placed.setdefault(r.sequence_id, []).append((r.offset, r.length))
     found = []
     for (k, n), parts in texts.items():
         # rows of one key and length may be repeated
@@ -37,22 +45,19 @@ def check(got, rows, tokenizer, length=2048):
             assert len(whole) == 4 * n
             found.append((k is None, k or 0, whole))
     assert sorted(found) == want
-    sequences = {}
-    for r in got:
-        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in sequences.values():
+    assert placed.keys() == packed.keys()
+    for k, parts in placed.items():
         at = 0
         for o, n in sorted(parts):
             assert o == at
             at += n
-        assert at <= length
-    return len(sequences), sum(r.length for r in got)
+        assert at <= length and len(packed[k].ids) == 4 * at
+    return len(packed), sum(r.length for r in got)
 
 
 def test_odd_rows(spark, tokenizer):
     rows = [r for r in ODD_ROWS]
-    got = packing.pack(documents(spark, rows)).collect()
-    check(got, rows, tokenizer)
+    check(packing.pack(documents(spark, rows)), rows, tokenizer)
 
 
 def test_empty_table(spark):
@@ -62,7 +67,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("open_windows", [1, 4, 256])
 def test_many_partitions_merge(spark, tokenizer, open_windows):
     rows = [(k, f"text number {k} says this " * (k * 37 % 61)) for k in range(400)]
-    got = packing.pack(documents(spark, rows).repartition(40), open_windows=open_windows).collect()
+    got = packing.pack(documents(spark, rows).repartition(40), open_windows=open_windows)
     sequences, total = check(got, rows, tokenizer)
     if open_windows == 256:
         assert sequences == -(-total // 2048) or total / (2048 * sequences) > 0.97
@@ -76,3 +81,18 @@ def test_packer_emits_the_fullest():
     assert p.add(8, "e") == ["a"]  # none holds it: the fullest goes
     assert p.add(10, "f") == ["f"]
     assert sorted(p.rest()) == [["d"], ["e"]]
+
+
+def test_query_over_a_table(spark, tokenizer):
+    """op8 against the tokenizer over the whole smallest table."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r.doc_id: ids_of(tokenizer, r.text, 1) for r in rows}
+    got, held = {}, {}
+    for r in QUERIES["op8_packing"](spark, SF).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) and r.doc_tokens == len(ids[r.doc_id]) // 4
+        got.setdefault(r.doc_id, []).append((r.start, r.length))
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for k, x in ids.items():
+        assert sum(n for _, n in got[k]) == len(x) // 4 and [s for s, _ in sorted(got[k])] == list(range(0, len(x) // 4, 2048))
+    for parts in held.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:])) and sum(n for _, n in parts) <= 2048
