@@ -9,8 +9,10 @@ proportions in the mixture of all languages; other sets of that size are not com
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no proportions; ties
 between languages go to the first in alphabetical order; without any learnable document every row is
-``und``; null languages are not learned; repeated rows are predicted alike; an empty table gives no rows;
-columns that aren't named are ignored.
+``und``; null languages are not learned; repeated rows are predicted alike; null keys are kept; a very long
+text is predicted whole, on its own; an empty table gives no rows; columns that aren't named are ignored.
+A language costs 256 KB on the driver and in each task, so a table with over MOST_LANGUAGES different ones
+is refused with an error rather than cut.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import slices, tidy
+
 BITS, BLOCK, SMOOTHING, ROUNDS, PENALTY = 15, 4096, 0.5, 25, 12.0
+MOST_LANGUAGES = 512
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -63,13 +68,12 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for b in batches:
-        for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-            names = np.array(part.column(0).to_pylist(), object)
-            owner, place, _ = trigrams(part.column(1).to_pylist())
-            for name in set(names.tolist()):
-                counts = np.bincount(place[(names == name)[owner]], minlength=1 << BITS)
-                sums[name] = sums[name] + counts if name in sums else counts
+    for part in slices(batches, 1):
+        names = np.array(part.column(0).to_pylist(), object)
+        owner, place, _ = trigrams(part.column(1).to_pylist())
+        for name in set(names.tolist()):
+            counts = np.bincount(place[(names == name)[owner]], minlength=1 << BITS)
+            sums[name] = sums[name] + counts if name in sums else counts
     for name, x in sums.items():
         n = len(x) // BLOCK
         yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array([x[k * BLOCK : (k + 1) * BLOCK].astype(np.uint32).tobytes() for k in range(n)])], names=["lang", "block", "counts"])
@@ -90,8 +94,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count trigrams by language over all rows with a language. What reaches the driver is 256 KB a language."""
     schema = "lang string, block int, counts binary"
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    partial = rows.mapInArrow(_count, schema)
-    found = partial.repartition("lang", "block").mapInArrow(_sum, schema).collect()
+    if len(rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different languages")
+    partial = rows.mapInArrow(tidy(_count), schema)
+    found = partial.repartition("lang", "block").mapInArrow(tidy(_sum), schema).collect()
     languages = sorted({r["lang"] for r in found})
     counts = np.zeros((1 << BITS, len(languages)))
     for r in found:
@@ -158,14 +164,15 @@ def proportions(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.n
 def _predict(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, "und"], object)
-        for b in batches:
-            for part in (b.slice(i, 128) for i in range(0, b.num_rows, 128)):
-                share, lettered = proportions(part.column(1).to_pylist(), model)
-                top = np.where(lettered, share.argmax(axis=1), len(model.languages)) if model.languages else np.zeros(part.num_rows, int)
-                score = np.where(lettered, share.max(axis=1), 0.0) if model.languages else np.zeros(part.num_rows)
-                mixed = [[{"lang": model.languages[j], "share": float(row[j])} for j in np.argsort(-row, kind="stable").tolist() if row[j] > 0] for row in share]
-                kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[top].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(mixed, kind)], names=[part.schema.names[0], "lang_pred", "score", "mixture"])
+        # a slice has a row of likelihoods for each distinct trigram of each text
+        most_bytes = min(1 << 20, (4 << 20) // max(1, len(model.languages)))
+        for part in slices(batches, 1, most_bytes):
+            share, lettered = proportions(part.column(1).to_pylist(), model)
+            top = np.where(lettered, share.argmax(axis=1), len(model.languages)) if model.languages else np.zeros(part.num_rows, int)
+            score = np.where(lettered, share.max(axis=1), 0.0) if model.languages else np.zeros(part.num_rows)
+            mixed = [[{"lang": model.languages[j], "share": float(row[j])} for j in np.argsort(-row, kind="stable").tolist() if row[j] > 0] for row in share]
+            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[top].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(mixed, kind)], names=[part.schema.names[0], "lang_pred", "score", "mixture"])
 
     return predict
 
@@ -174,4 +181,4 @@ def languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     """key, lang_pred, score (its proportion) and mixture (language, proportion) of every row."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(lambda x: _predict(shared.value)(x), f"{key} {kind}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(tidy(lambda x: _predict(shared.value)(x)), f"{key} {kind}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
