@@ -8,7 +8,7 @@ Defined results: a null html is the empty payload; of records with equal payload
 bytes that with the largest page_id is the response and the others are revisits of it (rows that share
 this page_id are all responses, a null page_id is never the largest unless all are null, and then all
 are responses); a null url is written as an empty one; repeated rows give repeated records; an empty
-table gives no archive. A frame that can't be decoded or a record whose version, headers or lengths
+table gives no archive; a very long html is a record like any other, in an archive of its own if need be. A frame that can't be decoded or a record whose version, headers or lengths
 don't hold gives a row with ``error`` set, and reading goes on at the next frame. Columns that aren't
 named are ignored.
 """
@@ -26,7 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLES, LEVEL = 16 << 20, 32 << 10, 256, 3
+from scriptorium.llm.storage import slices, tidy
+
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLES, LEVEL, SALTS = 16 << 20, 32 << 10, 256, 3, 32
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,15 +76,14 @@ def _write(limit: int):
         def archive() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{task:05d}-{number:05d}.warc.zst"]), pa.array([archive_bytes(held)], pa.binary())], names=["path", "content"])
 
-        for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                for row in zip(*(c.to_pylist() for c in part.columns)):
-                    x = record_bytes(*row)
-                    if held and size + len(x) > limit:
-                        yield archive()
-                        held, size, number = [], 0, number + 1
-                    held.append(x)
-                    size += len(x)
+        for part in slices(batches, 2):
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                x = record_bytes(*row)
+                if held and size + len(x) > limit:
+                    yield archive()
+                    held, size, number = [], 0, number + 1
+                held.append(x)
+                size += len(x)
         if held:
             yield archive()
 
@@ -93,10 +94,16 @@ def write_archives(df: DataFrame, key: str = "page_id", url: str = "url", html:
     """(path, content) rows, an archive each, of all pages; an archive ends before it holds more than the limit."""
     pages = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= LEAST_REVISIT
-    groups = pages.filter(long).groupBy("digest").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "first")
-    joined = pages.join(groups, F.when(long, F.col("digest")) == F.col("same"), "left")
+    groups = pages.filter(long).groupBy("digest").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    # a popular payload has one digest: its rows are dealt over SALTS places, and each of the few groups goes to all of them
+    salt = F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")
+    places = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = pages.filter(long).withColumn("salt", salt).join(places, ["digest", "salt"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key")), F.col("first"))
-    return joined.select("key", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(_write(archive_bytes_limit), "path string, content binary")
+    columns = ("key", "url", "payload", "digest", "refers_to")
+    # short pages need no partner and stay where they are
+    records = joined.withColumn("refers_to", refers).select(*columns).unionByName(pages.filter(~long).withColumn("refers_to", F.lit(None).cast(df.schema[key].dataType)).select(*columns))
+    return records.mapInArrow(tidy(_write(archive_bytes_limit)), "path string, content binary")
 
 
 # --- reading -----------------------------------------------------------------------------------
@@ -208,4 +215,4 @@ def _read(with_payload: bool):
 def read_archives(df: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per record of (path, content) archives; payloads only if asked for."""
     schema = "path string, frame_offset long, frame_bytes long, page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long, error string"
-    return df.select("path", "content").mapInArrow(_read(with_payload), schema)
+    return df.select("path", "content").mapInArrow(tidy(_read(with_payload)), schema)
