@@ -7,7 +7,8 @@ positions, fixed row-group and page sizes and the page index that Parquet writer
 never touches the ids, ``read_tokens`` gets pushed-down key filters.
 
 Defined results: a null text is empty and has the end id alone; a null key comes first; rows of one
-key are ordered by text; an empty table gives empty tables; columns that aren't named are ignored.
+key are ordered by text; a very long text is encoded on its own and is one row; an empty table gives empty
+tables; columns that aren't named are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import slices, tidy
+
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
-SLICE = 256
 #: Words that a worker remembers; less than elsewhere, as the task also sorts and writes.
 MEMORY_BYTES = 160 << 20
 
@@ -33,29 +35,34 @@ def _encode(end_id: int, tokenizer: str | None):
 
         codec, shard, at = encoder(tokenizer, MEMORY_BYTES), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for part in (b.slice(i, SLICE) for i in range(0, b.num_rows, SLICE)):
-                ids = [x + tail for x in codec.encode_all(part.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), shard, np.int32)), part.column(0), pa.array(at + ends - n), pa.array(n), lists],
-                    names=["shard", "key", "local_start", "n_tokens", "ids"],
-                )
-                at += int(ends[-1])
+        for part in slices(batches, 1):
+            ids = [x + tail for x in codec.encode_all(part.column(1).to_pylist())]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ends = np.cumsum(n)
+            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), shard, np.int32)), part.column(0), pa.array(at + ends - n), pa.array(n), lists],
+                names=["shard", "key", "local_start", "n_tokens", "ids"],
+            )
+            at += int(ends[-1])
 
     return encode
 
 
 def write_token_files(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, tokenizer: str | None = None, files: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
-    """Write the token and shard tables of a text column below a folder."""
+    """Write the token and shard tables of a text column below a folder.
+
+    Unless ``files`` says how many, ranges are joined until they have Spark's advisory partition size, so their
+    number follows the data.
+    """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(files, "key").sortWithinPartitions("key", "text")
-    encoded = ranged.mapInArrow(_encode(end_id, tokenizer), f"shard int, key {kind}, local_start long, n_tokens long, ids array<int>")
+    # rows of a hot key are dealt by the beginnings of their texts, which keeps the order by key and text
+    by = ("key", F.substring("text", 1, 24))
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    ranged = (rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)).sortWithinPartitions("key", "text")
+    encoded = ranged.mapInArrow(tidy(_encode(end_id, tokenizer)), f"shard int, key {kind}, local_start long, n_tokens long, ids array<int>")
     options = {
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),

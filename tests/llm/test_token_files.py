@@ -6,9 +6,11 @@ from pathlib import Path
 import pyarrow.parquet as pq
 import pytest
 from frames import ODD_ROWS, documents
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scriptorium.llm import token_files
+from scriptorium.llm.queries import QUERIES
 from scriptorium.llm.storage import shared_folder
 from scriptorium.llm.tokens import Encoder
 
@@ -77,3 +79,27 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     texts = ["a  b", " lead", "trail ", "x\n\ny\tz", "a b  c\r\n", "日本 語", "don't stop-now!", "🙂🙂 ok", "é é", "​ x", "", None, "tab\tand\x0bvt", "word " * 300]
     for t, got in zip(texts * 3, own.encode_all(texts) + own.encode_all(texts) + own.encode_all(texts)):
         assert got == array("I", tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes(), t
+
+
+def test_rows_of_a_hot_key_are_dealt_over_files(spark):
+    rows = [(None if k % 3 else k, f"{k * 7919 % 1000:03d} text") for k in range(600)]
+    path = write(spark, rows, files=6)
+    shards = {r.shard for r in spark.read.parquet(f"{path}/tokens").filter("key is null").select("shard").collect()}
+    assert len(shards) >= 3
+    got = token_files.read_metadata(spark, path, columns=("ids",)).orderBy("start").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    assert [r.doc_id for r in got] == [k for k, _ in want]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+
+
+def test_query_over_a_table(spark, tokenizer):
+    """op5 against the tokenizer over the whole smallest table."""
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_files"](spark, sf).collect())
+    at, want = 0, []
+    for k, t in rows:
+        ids = ids_of(tokenizer, t)
+        want.append((k, at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    assert got == want
