@@ -1,200 +1,173 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-An item's windows of ten words are sets of placed shingles (five words each; a window of fewer words
-is one shingle). Shingles are ordered by rarity in the documents. As a window occurs only with all its
-shingles, its prefix is the rarest one: documents are joined on prefix shingles alone, each match fixes
-where the window would begin, windows that would begin before the first or end after the last word are
-dropped (positional and length bounds), and the rest are compared word by word.
-
-Documents are scanned where they lie, twice, without a shuffle of texts. The benchmark's distinct rows are
-gathered in blocks of bounded bytes; each block is matched against all documents, so a benchmark of any size
-works. With several blocks the documents are staged with a number for each row, by which the blocks' results
-are merged: rows stay apart whatever their key and text.
+An item's windows of ten words are sets of placed shingles (five words each; a window of fewer words is
+one shingle). Documents are read once: of their shingles those that may be one of the benchmark's (a Bloom
+filter of bounded size tells) are written down with their place and the words around them. Shingles are
+ordered by rarity in the documents. As a window occurs only with all its shingles, its prefix is the rarest
+one: documents and windows are joined on prefix shingles alone, each match fixes where the window would
+begin, windows that would begin before the first or end after the last word are dropped (positional and
+length bounds), and the words of the rest are compared.
+
+The joins and counts are Spark's, so neither side needs to fit anywhere; the filter saves shuffling only.
+Popular shingles are dealt over ``SALTS`` places. No text crosses the network but the words around shingles
+of the benchmark.
 
 Defined results: a null or wordless text has no words and no hits; items that are null or wordless
-have no windows; a null item_id is written as the empty string; items of one id count once; an empty
+have no windows; a null item_id is written as the empty string; items of one id count once; repeated rows,
+and rows of one key or of null keys, stay apart; a very long text is worked on whole, on its own; an empty
 table of documents gives no rows, an empty benchmark no hits; columns that aren't named are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import staged, tidy
-from scriptorium.llm.text import words_of
+from scriptorium.llm.storage import slices, staged, tidy
+from scriptorium.llm.text import mix, word_hashes, words_of
+
+WINDOW, SHINGLE, SALTS = 10, 5, 8
+#: Bits of the filter: 16 for each shingle of the benchmark, within these powers of two.
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 28, 16
+_TURNS = [np.uint64(2 * x + 1) for x in np.random.default_rng(31).integers(1, 1 << 62, 64).tolist()]
 
-WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 8 << 20
-ODD = np.uint64(0x9E3779B97F4A7C15)
 
+def shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of so many words that lie within one text, and the places of their first words.
 
-def _shingles(ids: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of word ids; equal hashes are checked word by word later."""
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+    ``words`` are the word hashes of all texts, ``at`` where each text's words begin, with the end.
+    """
+    n = max(0, len(words) - size + 1)
+    h = np.full(n, np.uint64(size))
     for k in range(size):
-        h = (h ^ (ids[k : k + n].astype(np.uint64) + np.uint64(k + 1))) * ODD
-        h ^= h >> np.uint64(31)
-    return h
-
-
-@dataclass
-class Block:
-    """Windows of some items, and their shingles by size."""
-
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    windows: list[np.ndarray] = field(default_factory=list)
-    items: list[list[str]] = field(default_factory=list)  # of each window
-    shingles: dict[int, np.ndarray] = field(default_factory=dict)  # size -> sorted hashes
-    # size -> for each shingle (first, last) in the arrays of (window, place in it); set once rarity is known
-    prefixes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    @staticmethod
-    def of(rows: list[tuple[object, str | None]], window: int, shingle: int) -> Block:
-        block, seen = Block(), {}
-        for item, text in rows:
-            ids = np.array([block.vocabulary.setdefault(w, len(block.vocabulary)) for w in words_of(text)], np.int64)
-            n = min(window, len(ids))
-            name = "" if item is None else str(item)
-            for i in range(len(ids) - n + 1 if n else 0):
-                w = ids[i : i + n]
-                k = seen.setdefault(w.tobytes(), len(block.windows))
-                if k == len(block.windows):
-                    block.windows.append(w)
-                    block.items.append([])
-                if name not in block.items[k]:
-                    block.items[k].append(name)
-        by_size: dict[int, list[np.ndarray]] = {}
-        for w in block.windows:
-            size = min(shingle, len(w))
-            by_size.setdefault(size, []).append(_shingles(w, size))
-        block.shingles = {size: np.unique(np.concatenate(x)) for size, x in by_size.items()}
-        return block
-
-    def places(self, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where shingles of the block begin in a document, and which they are."""
-        known, h = self.shingles[size], _shingles(ids, size)
-        whole = np.ones(len(h), bool)
-        for k in range(size):
-            whole &= ids[k : k + len(h)] >= 0
-        at = np.flatnonzero(whole)
-        which = np.searchsorted(known, h[at])
-        ok = known[np.minimum(which, len(known) - 1)] == h[at]
-        return at[ok], which[ok]
-
-    def choose(self, counts: dict[tuple[int, int], int], shingle: int) -> None:
-        """Take each window's rarest shingle as its prefix; windows with a shingle that no document has are dropped."""
-        chosen: dict[int, list[tuple[int, int, int]]] = {size: [] for size in self.shingles}
-        for k, w in enumerate(self.windows):
-            size = min(shingle, len(w))
-            which = np.searchsorted(self.shingles[size], _shingles(w, size)).tolist()
-            rarity = [(counts.get((size, s), 0), s, place) for place, s in enumerate(which)]
-            if min(rarity)[0]:
-                chosen[size].append((min(rarity)[1], k, min(rarity)[2]))
-        for size, rows in chosen.items():
-            table = np.array(sorted(rows), np.int64).reshape(-1, 3)
-            first = np.searchsorted(table[:, 0], np.arange(len(self.shingles[size]) + 1))
-            self.prefixes[size] = (first, table[:, 1], table[:, 2])
-
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(window, first word) of all occurrences in a document."""
-        out = []
-        for size, (first, window, place) in self.prefixes.items():
-            at, which = self.places(ids, size)
-            n = first[which + 1] - first[which]
-            if not n.sum():
-                continue
-            rows = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            w, start = window[rows], np.repeat(at, n) - place[rows]
-            for k in np.unique(w).tolist():
-                s, want = start[w == k], self.windows[k]
-                s = s[(s >= 0) & (s + len(want) <= len(ids))]
-                same = np.ones(len(s), bool)
-                for j, x in enumerate(want.tolist()):
-                    same &= ids[s + j] == x
-                out += [(k, x) for x in s[same].tolist()]
-        return out
-
-
-def _ids(block: Block, text: str | None) -> np.ndarray:
-    words = words_of(text)
-    get = block.vocabulary.get
-    return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-
-def _count(block: Block):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {size: np.zeros(len(x), np.int64) for size, x in block.shingles.items()}
-        for b in batches:
-            for text in b.column(0):
-                ids = _ids(block, text.as_py())
-                if len(ids) and (ids >= 0).any():
-                    for size in sums:
-                        np.add.at(sums[size], block.places(ids, size)[1], 1)
-        for size, x in sums.items():
-            k = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size, np.int32)), pa.array(k.astype(np.int64)), pa.array(x[k])], names=["size", "shingle", "n"])
-
-    return count
-
-
-def _match(block: Block):
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
-                n_words, spans, items = [], [], []
-                for text in part.column(2).to_pylist():
-                    ids = _ids(block, text)
-                    found = block.hits(ids) if len(ids) else []
-                    mark = np.zeros(len(ids) + 1, np.int8)
-                    for k, s in found:
-                        mark[s : s + len(block.windows[k])] = 1
-                    edges = np.flatnonzero(np.diff(mark, prepend=np.int8(0))) if found else np.empty(0, np.int64)
-                    n_words.append(len(ids))
-                    spans.append([{"first": int(u), "last": int(v)} for u, v in zip(edges[::2], edges[1::2])])
-                    items.append(sorted({x for k, _ in found for x in block.items[k]}))
-                span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["row", "key", "n_words", "spans", "items"])
-
-    return match
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        h += words[k : k + n] * _TURNS[k]
+    ends = np.repeat(at[1:], np.diff(at))[:n]
+    first = np.flatnonzero(np.arange(n) + size <= ends)
+    return mix(h[first]), first
+
+
+def _windows(window: int, shingle: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            rows = []
+            for item, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                words, (hashes, at) = words_of(text), word_hashes([text])
+                n = min(window, len(words))
+                if not n:
+                    continue
+                size = min(shingle, n)
+                h = shingles(hashes, at, size)[0].astype(np.int64).tolist()
+                rows += [(item, b" ".join(words[i : i + n]).decode(), n, h[i : i + n - size + 1]) for i in range(len(words) - n + 1)]
+            columns = list(zip(*rows)) or [()] * 4
+            types = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["item", "words", "n", "shingles"])
+
+    return windows
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each hash."""
+    mask = np.uint64((1 << bits) - 1)
+    return (hashes & mask).astype(np.int64), (hashes >> np.uint64(32) & mask).astype(np.int64)
+
+
+BLOCK = 15  # the filter is put together in blocks of this power of two of bits
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, place in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if block not in held:
+                held[block] = np.zeros(1 << BLOCK - 3, np.uint8)
+            held[block][place >> 3 & (1 << BLOCK - 3) - 1] |= 1 << (place & 7)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "held"])
+
+
+def _filter(known: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of a column of shingles: 32 MB at most reach the driver and the tasks."""
+    n = known.count()
+    bits = min(most_bits, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
+    place = F.explode(F.array(F.col("shingle").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("shingle", 32).bitwiseAND((1 << bits) - 1)))
+    placed = known.select(place.alias("place")).select(F.shiftright("place", BLOCK).alias("block"), "place")
+    partitions = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in placed.repartition(partitions, "block").mapInArrow(tidy(_blocks), "block long, held binary").collect():
+        out[r["block"] << BLOCK - 3 : (r["block"] + 1) << BLOCK - 3] = np.frombuffer(r["held"], np.uint8)
+    return out, bits
+
+
+def _probe(held: np.ndarray, bits: int, sizes: list[int], window: int):
+    """For each document its words' number and the shingles that the filter holds, with the words from ``before`` words earlier on."""
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("context", pa.string())]))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2):
+            texts = part.column(2).to_pylist()
+            words, at = word_hashes(texts)
+            found: dict[int, list[tuple[int, int]]] = {}
+            for size in sizes:
+                h, first = shingles(words, at, size)
+                a, b = _places(h, bits)
+                k = np.flatnonzero((held[a >> 3] >> (a & 7).astype(np.uint8) & 1) & (held[b >> 3] >> (b & 7).astype(np.uint8) & 1))
+                for x, p, i in zip(h[k].astype(np.int64).tolist(), first[k].tolist(), (np.searchsorted(at, first[k], "right") - 1).tolist()):
+                    found.setdefault(i, []).append((x, p - int(at[i])))
+            hits = []
+            for i in range(len(texts)):
+                own = words_of(texts[i]) if i in found else []
+                hits.append([{"shingle": x, "pos": p, "before": (n := min(p, window)), "context": b" ".join(own[p - n : p + window]).decode()} for x, p in found.get(i, ())])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.array(hits, kind)], names=["row", "key", "n_words", "hits"])
+
+    return probe
+
+
+def _met(many: DataFrame, few: DataFrame, salt: str) -> DataFrame:
+    """An inner join on shingle whose popular values are dealt over SALTS places by a column of the larger side."""
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["shingle", "salt"]).drop("salt")
+
+
+SPANS = "array<struct<first:bigint,last:bigint>>"
+#: Sorted (first, last) spans as maximal ones.
+JOINED = f"""
+    aggregate(array_sort(raw), cast(array() as {SPANS}), (m, s) ->
+        if(size(m) > 0 and element_at(m, -1).last >= s.first,
+           concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'last', greatest(element_at(m, -1).last, s.last)))),
+           concat(m, array(s))))
+"""
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per document: key, n_words, spans (first word, word after the last) that are hit, items with occurring windows."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.lit(0).cast("long").alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
-    if blocks > 1:
-        texts = staged(texts.withColumn("row", F.monotonically_increasing_id()))
-    found = None
-    for k in range(blocks):
-        rows = asked.filter(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {k}")).collect()  # about block_bytes
-        block = Block.of([(r["item"], r["text"]) for r in rows], window, shingle)
-        shared = spark.sparkContext.broadcast(block)
-        counted = texts.select("text").mapInArrow(tidy(lambda x, s=shared: _count(s.value)(x)), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
-        block.choose({(r["size"], r["shingle"]): r["n"] for r in counted.collect()}, shingle)  # at most the block's shingles
-        shared = spark.sparkContext.broadcast(block)
-        part = texts.mapInArrow(tidy(lambda x, s=shared: _match(s.value)(x)), f"row long, key {kind}, n_words long, spans array<struct<first:bigint,last:bigint>>, items array<string>")
-        # the first block gives every row, the others those with hits
-        found = part if found is None else found.unionByName(part.filter(F.size("spans") > 0))
-    if blocks == 1:
-        return found.select(F.col("key").alias(key), "n_words", "spans", "items")
-    raise_spans = F.flatten(F.collect_list("spans"))
-    merged = found.groupBy("row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), raise_spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    joined = F.expr("""
-        aggregate(array_sort(spans), cast(array() as array<struct<first:bigint,last:bigint>>), (m, s) ->
-            if(size(m) > 0 and element_at(m, -1).last >= s.first,
-               concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'last', greatest(element_at(m, -1).last, s.last)))),
-               concat(m, array(s))))
-    """)
-    return merged.select(F.col("key").alias(key), "n_words", joined.alias("spans"), F.array_sort("items").alias("items"))
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
+    spread = items.mapInArrow(tidy(_windows(window, shingle)), "item string, words string, n int, shingles array<bigint>")
+    windows = staged(spread.groupBy("words").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.collect_set("item").alias("items")).withColumn("window", F.monotonically_increasing_id()))
+    sizes = sorted(r["size"] for r in windows.select(F.least("n", F.lit(shingle)).alias("size")).distinct().collect())  # at most as many as a shingle has words
+    held, bits = _filter(windows.select(F.explode("shingles").alias("shingle")).distinct(), most_bits)
+    shared = spark.sparkContext.broadcast(held)
+
+    # one pass over the documents
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    hit = "array<struct<shingle:bigint,pos:int,before:int,context:string>>"
+    probed = staged(rows.mapInArrow(tidy(lambda x: _probe(shared.value, bits, sizes, window)(x)), f"row long, key {kind}, n_words long, hits {hit}"))
+    hits = probed.select("row", "n_words", F.explode("hits").alias("h")).select("row", "n_words", "h.*")
+
+    # each window's rarest shingle; a window with a shingle that no document has can't occur
+    counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("rarity"))
+    placed = windows.select("window", F.size("shingles").alias("size"), F.posexplode("shingles").alias("place", "shingle"))
+    rarest = _met(placed, counts, "window").groupBy("window", "size").agg(F.min(F.struct("rarity", "shingle", "place")).alias("p"), F.count(F.lit(1)).alias("there"))
+    prefixes = rarest.filter("there = size").select("window", "p.shingle", "p.place").join(windows.select("window", "words", "n", "items"), "window")
+
+    # candidates by prefix, bounds, then word by word
+    candidates = _met(hits, prefixes, "row").withColumn("first", F.col("pos") - F.col("place")).filter("first >= 0 and first + n <= n_words")
+    same = candidates.filter("array_join(slice(split(context, ' '), before - place + 1, n), ' ') = words")
+    span = F.struct(F.col("first").cast("long").alias("first"), (F.col("first") + F.col("n")).cast("long").alias("last"))
+    found = same.groupBy("row").agg(F.collect_list(span).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("row", F.expr(JOINED).alias("spans"), "items")
+    joined = probed.select("row", "key", "n_words").join(found, "row", "left")
+    return joined.select(F.col("key").alias(key), "n_words", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))

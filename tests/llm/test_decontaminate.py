@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from frames import ODD_ROWS, documents
 
@@ -51,9 +52,9 @@ def test_empty_tables(spark):
     check(spark, ODD_ROWS, [])
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 200])
-def test_random_texts(spark, block_bytes):
-    """Also with a benchmark that takes several blocks."""
+@pytest.mark.parametrize("most_bits", [28, 15])
+def test_random_texts(spark, most_bits):
+    """Also with a filter that lets other shingles through."""
     rng = random.Random(7)
     words = [f"w{i}" for i in range(12)]
     text = lambda least, most: " ".join(rng.choice(words) for _ in range(rng.randint(least, most)))
@@ -64,20 +65,34 @@ def test_random_texts(spark, block_bytes):
         if k % 3 == 0:
             parts += [rng.choice(items)[1], text(0, 20)]
         rows.append((k, " ".join(parts)))
-    check(spark, rows, items, block_bytes=block_bytes)
+    check(spark, rows, items, most_bits=most_bits)
 
 
-def test_rows_stay_apart_with_several_blocks(spark):
+def test_rows_stay_apart(spark):
     """Repeated rows, null keys, and rows of one key with different texts of as many words."""
     clean, dirty = " ".join(f"c{i}" for i in range(13)), ITEMS[0][1]
     rows = [*ODD_ROWS, (2, clean), (2, dirty), (None, clean), (None, dirty), (None, clean), (20, "word " + clean)]
-    check(spark, ODD_ROWS, ITEMS, block_bytes=200)
-    check(spark, rows, ITEMS, block_bytes=200)
-    check(spark, rows, ITEMS, block_bytes=40)
+    check(spark, rows, ITEMS)
 
 
-def test_copies_of_an_item_are_gathered_once(spark, monkeypatch):
-    gathered, of = [], decontaminate.Block.of
-    monkeypatch.setattr(decontaminate.Block, "of", staticmethod(lambda rows, window, shingle: gathered.append(len(rows)) or of(rows, window, shingle)))
-    check(spark, ODD_ROWS, [ITEMS[0]] * 50, block_bytes=200)
-    assert gathered == [1]
+def test_copies_of_an_item(spark):
+    check(spark, ODD_ROWS, [ITEMS[0]] * 50 + [("z", ITEMS[0][1])])
+
+
+def test_a_larger_benchmark(spark):
+    """Many items, of which some share most windows, and a passage that most documents hold."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    hot = text(40)
+    items = [(f"i{k}", " ".join(text(rng.randint(5, 60)) + (hot if k % 5 == 0 else []))) for k in range(400)]
+    rows = [(k, " ".join(text(30) + (hot[k % 7 :] if k % 4 else items[k % 400][1].split()[: 5 + k % 30]) + text(5))) for k in range(300)]
+    check(spark, rows, items)
+
+
+def test_filter_holds_all_shingles(spark):
+    known = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 5000)
+    held, bits = decontaminate._filter(spark.createDataFrame([(int(x),) for x in known], "shingle long"), 28)
+    for place in decontaminate._places(known.astype(np.uint64), bits):
+        assert (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).all()
+    assert np.unpackbits(held).mean() < 0.2
