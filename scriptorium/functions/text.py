@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words and characters that results depend on.
@@ -51,7 +51,8 @@ def search_form(text: Column) -> Column:
 
 
 def search_words(text: Column) -> Column:
-    return without_empty(F.split(search_form(text), " "))
+    """The words of the search form: runs of letters and digits, found by one pattern."""
+    return without_empty(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
 def okapi_words(text: Column) -> Column:
@@ -66,14 +67,14 @@ def _textometric_form(text: Column) -> Column:
 
 def textometric_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Words of a text without links, identifiers, e-mail addresses, stopwords, parts of links, and number codes."""
-    text = F.regexp_replace(text, r"(?i)(?:https?|ftp)://[^\s]+", " ")
-    text = F.regexp_replace(text, r"(?i)\b(?:doi[:\s]*)?10\.\d{4,}(?:\.\d+)*/[^\s]+", " ")
-    text = F.regexp_replace(text, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", " ")
-    dropped = literal_array(tuple(dict.fromkeys([*stopwords, *URL_PARTS])))
-    return F.filter(
-        F.split(_textometric_form(text), " "),
-        lambda w: (F.length(w) >= 2) & ~F.array_contains(dropped, w) & ~w.rlike(r"^(\d{4,}|[a-z]\d+|\d+[a-z]+)$"),
-    )
+    # The patterns of links, identifiers, e-mail addresses and number codes.
+    links = F.when(text.contains("://"), F.regexp_replace(text, r"(?i)(?:https?|ftp)://[^\s]+", " ")).otherwise(text)
+    identifiers = F.when(links.contains("10."), F.regexp_replace(links, r"(?i)\b(?:doi[:\s]*)?10\.\d{4,}(?:\.\d+)*/[^\s]+", " ")).otherwise(links)
+    addresses = F.when(identifiers.contains("@"), F.regexp_replace(identifiers, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", " ")).otherwise(identifiers)
+    dropped = list(dict.fromkeys([*stopwords, *URL_PARTS]))
+    # only words whose first or last character is below a letter can be number codes
+    coded = lambda w: ((w < ":") | (F.substring(w, -1, 1) < ":")) & w.rlike(r"^(\d{4,}|[a-z]\d+|\d+[a-z]+)$")
+    return F.filter(F.split(_textometric_form(addresses), " "), lambda w: (F.length(w) >= 2) & ~w.isin(dropped) & ~coded(w))
 
 
 def all_words(text: Column) -> Column:
@@ -86,6 +87,19 @@ def quality_words(text: Column) -> Column:
     return without_empty(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
 
 
+def with_counts(df: DataFrame, words: str, to: str) -> DataFrame:
+    """Add the distinct words of an array with their counts, [(word, count)] in word order. Counted within the row: nothing is shuffled.
+
+    Explode the result with explode_outer: the filter that Spark puts below a plain explode would have it counted twice.
+    """
+    ordered, starts = f"{to}_ordered", f"{to}_starts"
+    df = df.withColumn(ordered, F.sort_array(words))
+    df = df.withColumn(starts, F.expr(f"filter(sequence(1, size({ordered})), i -> i > 0 and (i = 1 or get({ordered}, i - 1) <> get({ordered}, i - 2)))"))
+    df = df.withColumn(starts, F.expr(f"if(size({ordered}) = 0, cast(array() as array<int>), {starts})"))
+    counted = F.expr(f"transform({starts}, (s, i) -> named_struct('word', get({ordered}, s - 1), 'count', cast(coalesce(get({starts}, i + 1), size({ordered}) + 1) - s as bigint)))")
+    return df.withColumn(to, counted).drop(ordered, starts)
+
+
 def content_form(text: Column) -> Column:
     """For equality of contents: lower case, white space collapsed, then punctuation out, then trimmed; in this order."""
     return strip(F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), r"[^\p{L}\p{N}\s]", ""))

@@ -18,22 +18,20 @@ def fixed_chunks(docs: DataFrame, key: str = "doc_id", most: int = 300, overlap:
     ``least`` words is kept only if it ends the text.
     """
     words = ft.without_empty(F.split(ft.present("text"), r"\s+"))
-    base = docs.select(key, words.alias("w")).filter(F.size("w") > 0).withColumn("n", F.size("w"))
-    starts = base.select(key, "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(most - overlap))).alias("first"))
-    end = F.least(F.col("first") + most, F.col("n"))
-    placed = starts.withColumn("end", end)
-    # places (0-based) of the last words that end a sentence, the word at the end itself included
-    tail = F.filter(F.sequence(F.greatest(F.col("end") - 50, F.col("first") + 1), F.col("end")), lambda i: F.coalesce(F.get("w", i), F.lit("")).rlike(r"[.!?]$"))
-    cut = F.when((F.col("end") < F.col("n")) & (F.size(tail) > 0), F.array_max(tail) + 1).otherwise(F.col("end"))
-    chunks = placed.withColumn("stop", cut).withColumn("n_words", F.col("stop") - F.col("first"))
-    kept = chunks.filter((F.col("n_words") >= least) | (F.col("stop") >= F.col("n")))
-    numbered = kept.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("first")) - 1)
-    return numbered.select(
+    base = docs.select(key, words.alias("w"))
+    # every step works on arrays within the row, so nothing is shuffled and a chunk row holds its own words only
+    firsts = base.withColumn("x", F.expr(f"transform(filter(sequence(0, greatest(size(w) - 1, 0), {most - overlap}), f -> f < size(w)), f -> named_struct('first', f, 'end', least(f + {most}, size(w))))"))
+    # the place (0-based) of the last word that ends a sentence in the final 50, the word at the end itself included
+    tail = "array_max(filter(sequence(greatest(c.end - 50, c.first + 1), c.end), i -> coalesce(get(w, i), '') rlike '[.!?]$'))"
+    cut = firsts.withColumn("x", F.expr(f"transform(x, c -> named_struct('first', c.first, 'stop', if(c.end < size(w), coalesce({tail} + 1, c.end), c.end)))"))
+    kept = cut.withColumn("x", F.expr(f"filter(x, c -> c.stop - c.first >= {least} or c.stop >= size(w))"))
+    filled = kept.select(key, F.expr("transform(x, c -> named_struct('first', c.first, 'n', c.stop - c.first, 'content', array_join(slice(w, c.first + 1, c.stop - c.first), ' ')))").alias("x"))
+    return filled.select(key, F.posexplode_outer("x").alias("chunk_index", "c")).filter("c is not null").select(
         key,
         F.col("chunk_index").cast("long").alias("chunk_index"),
-        F.col("first").cast("long").alias("first_word"),
-        F.col("n_words").cast("long").alias("n_words"),
-        F.array_join(F.slice("w", F.col("first") + 1, F.col("n_words")), " ").alias("content"),
+        F.col("c.first").cast("long").alias("first_word"),
+        F.col("c.n").cast("long").alias("n_words"),
+        F.col("c.content").alias("content"),
     )
 
 

@@ -14,14 +14,14 @@ Words = Callable[[Column], Column]
 
 def word_counts(docs: DataFrame, words: Words = ft.textometric_words, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., word, count); counts are combined before the shuffle."""
-    exploded = docs.select(*by, F.explode(words(ft.present("text"))).alias("word"))
+    exploded = docs.select(*by, F.explode_outer(words(ft.present("text"))).alias("word")).filter("word is not null")
     return exploded.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def text_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: words with and without stopwords, distinct words, lexical richness."""
-    words, every = ft.textometric_words(ft.present("text")), ft.all_words(ft.present("text"))
-    sized = docs.select(key, F.size(words).cast("long").alias("total_words"), F.size(F.array_distinct(words)).cast("long").alias("unique_words"), F.size(every).cast("long").alias("total_with_stopwords"))
+    split = docs.select(key, ft.textometric_words(ft.present("text")).alias("words"), F.size(ft.all_words(ft.present("text"))).cast("long").alias("total_with_stopwords"))
+    sized = split.select(key, F.size("words").cast("long").alias("total_words"), F.size(F.array_distinct("words")).cast("long").alias("unique_words"), "total_with_stopwords")
     return sized.withColumn("richness", F.round(F.coalesce(F.try_divide(F.col("unique_words"), F.col("total_words")), F.lit(0.0)), 6))
 
 
@@ -41,19 +41,27 @@ def corpus_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def top_ngrams(docs: DataFrame, n: int, k: int, words: Words = ft.textometric_words) -> DataFrame:
     """The k most frequent runs of n words within documents."""
-    w = docs.select(words(ft.present("text")).alias("w")).filter(F.size("w") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    counted = w.select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
+    w = docs.select(words(ft.present("text")).alias("w"))
+    later = [F.expr(f"slice(w, {i + 1}, greatest(size(w) - {n - 1}, 0))") for i in range(n)]
+    grams = later[0]
+    for part in later[1:]:
+        grams = F.zip_with(grams, part, lambda a, b: F.concat(a, F.lit(" "), b))
+    # an outer explode: for a plain one a filter on the array would be put below, and the words split twice
+    counted = w.select(F.explode_outer(grams).alias("ngram")).filter("ngram is not null").groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
     return counted.orderBy(F.desc("count"), "ngram").limit(k)
 
 
-def tfidf(docs: DataFrame, k: int = 10, key: str = "doc_id", words: Words = ft.textometric_words) -> DataFrame:
-    """The k words of each document with the highest count / total * ln(documents / documents with the word)."""
-    counts = word_counts(docs.select(key, "text"), words, (key,))
-    totals = docs.select(key, F.size(words(ft.present("text"))).alias("total"))
+def tfidf(docs: DataFrame, k: int = 10, key: str = "doc_id", words: Words = ft.textometric_words, salts: int = 16) -> DataFrame:
+    """The k words of each document with the highest count / total * ln(documents / documents with the word).
+
+    Words are counted within their row. Popular words are dealt over ``salts`` places in the join, and the
+    window keeps k words of a document before its shuffle.
+    """
+    split = docs.select(key, words(ft.present("text")).alias("words"))
+    counts = ft.with_counts(split, "words", "counts").select(key, F.size("words").alias("total"), F.explode_outer("counts").alias("c")).filter("c is not null").select(key, "total", "c.word", "c.count")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    scored = counts.join(df, "word").join(totals, key).crossJoin(F.broadcast(n))  # one row
+    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    scored = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(df, ["word", "salt"]).crossJoin(F.broadcast(n))  # one row
     score = F.round(F.col("count") / F.col("total") * F.log(F.col("n") / F.col("df")), 9)
     ranked = scored.withColumn("tfidf", score).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("tfidf"), "word")))
     return ranked.filter(F.col("rank") <= k).select(key, "word", "tfidf", F.col("rank").cast("long").alias("rank"))
@@ -65,14 +73,18 @@ LIMITS = {"entropy": 0.3, "unique_ratio": 0.4, "sentences": 1, "words": 20, "lea
 
 def quality(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: entropy over log2 of the vocabulary, unique ratio, mean word length, sentences, score, first reason to reject."""
-    base = docs.select(key, ft.quality_words(ft.present("text")).alias("w"), ft.sentence_count(ft.present("text")).cast("long").alias("sentences"))
-    lowered = base.select(key, "sentences", F.size("w").cast("long").alias("words"), F.transform("w", F.lower).alias("w"))
-    distinct = lowered.withColumn("unique", F.size(F.array_distinct("w")).cast("long"))
-    counts = distinct.select(key, F.explode("w").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("c"))
-    # -sum(p log2 p) = log2(n) - sum(c log2 c) / n
-    mass = counts.groupBy(key).agg(F.sum(F.col("c") * F.log2("c")).alias("mass"))
-    joined = distinct.withColumn("letters", F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.length(x))).drop("w").join(mass, key, "left")
-    bits = F.log2("words") - F.col("mass") / F.col("words")
+    split = docs.select(key, F.transform(ft.quality_words(ft.present("text")), F.lower).alias("w"), ft.sentence_count(ft.present("text")).cast("long").alias("sentences"))
+    counted = ft.with_counts(split, "w", "counts")
+    # -sum(p log2 p) = log2(n) - sum(c log2 c) / n, summed within the row
+    joined = counted.select(
+        key,
+        "sentences",
+        F.size("w").cast("long").alias("words"),
+        F.size("counts").cast("long").alias("unique"),
+        F.aggregate("counts", F.lit(0.0), lambda s, x: s + x["count"] * F.log2(x["count"].cast("double"))).alias("mass"),
+        F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x["count"] * F.length(x["word"])).alias("letters"),
+    )
+    bits = F.log2("words") - F.try_divide("mass", "words")
     scored = joined.select(
         key,
         "words",
