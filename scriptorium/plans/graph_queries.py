@@ -89,13 +89,16 @@ def combined_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "graph_neighbours",
     f"""with {EDGES}, {PAIRS}, both_ as (select a, b, weight from pairs union all select b, a, weight from pairs)
-    select a as seed, 'out' as relation, b as node, 1.0::double as weight from e where a in (1, 2, 3)
-    union all select b, 'in', a, 1.0 from e where b in (1, 2, 3)
-    union all select a, 'similar', b, weight::double from (select *, row_number() over (partition by a order by weight desc, b) as n from both_ where a in (1, 2, 3)) where n <= 10""",
+    select a as seed, 'out' as relation, b as node, 1.0::double as weight from e where a % 20 = 0
+    union all select b, 'in', a, 1.0 from e where b % 20 = 0
+    union all select a, 'similar', b, weight::double from (select *, row_number() over (partition by a order by weight desc, b) as n from both_ where a % 20 = 0) where n <= 10""",
 )
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.range(1, 4).withColumnRenamed("id", "node")
-    return graph.neighbours(_edges(spark, sf_dir), graph.co_occurrence(_items(spark, sf_dir), "item", "doc"), seeds)
+    """Every node whose id is divisible by 20 asks."""
+    edges = _edges(spark, sf_dir)
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(_items(spark, sf_dir).select("item"))
+    seeds = ends.filter("node % 20 = 0").distinct()
+    return graph.neighbours(edges, graph.co_occurrence(_items(spark, sf_dir), "item", "doc"), seeds)
 
 
 @query("induced_subgraph", f"with {EDGES} select * from e where a <= 30 and b <= 30")
@@ -163,7 +166,7 @@ def term_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "entity_boost",
-    """with h as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings e, (select * from embeddings where vec_id % 50 = 0) q),
+    """with h as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings e, (select * from embeddings where vec_id % 20 = 0) q),
     t as (select * from (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from h) where rank <= 50)
     select query_id, id, round(0.7::double * similarity + 0.3::double * case when a.label = b.label then 1.5 else 0.0 end, 4) as score from t join embeddings a on a.vec_id = t.id join embeddings b on b.vec_id = t.query_id""",
 )
@@ -171,8 +174,8 @@ def entity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with one entity each, the label's name."""
     e = table(spark, sf_dir, "embeddings")
     named = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("label "), F.char(F.col("label") + 97)).alias("normalized"), F.lit("PERSON").alias("kind"))
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = search.top(search.dense(e.select(F.col("vec_id").alias("id"), "embedding"), asked), 50, "similarity", "id")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search.nearest(e.select(F.col("vec_id").alias("id"), "embedding"), asked, 50)
     queries = named.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "normalized", "kind")
     return entities.boosted(hits, named, queries).select("query_id", "id", F.round("score", 4).alias("score"))
 

@@ -9,7 +9,7 @@ from scriptorium.functions import text as ft
 from scriptorium.functions import vectors as fv
 from scriptorium.operators import search
 from scriptorium.plans.registry import query
-from scriptorium.sources.tables import table
+from scriptorium.sources.tables import stored, table
 
 #: SQL for the words of a text, as search_words, okapi_words.
 SEARCH_WORDS = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -126,13 +126,13 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("matched"), F.desc("source"), "doc_id").limit(20)
 
 
-DENSE = """q as (select vec_id as query_id, embedding as asked from embeddings where vec_id % 50 = 0),
+DENSE = """q as (select vec_id as query_id, embedding as asked from embeddings where vec_id % 20 = 0),
 dense as (select query_id, vec_id as id, label, round(list_cosine_similarity(embedding::double[], asked::double[]), 6) as similarity from embeddings, q)"""
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth vector asks."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Every vector whose id is divisible by 20 asks."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,8 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {DENSE} select * from (select query_id, id, similarity, row_number() over (partition by query_id order by similarity desc, id) as rank from dense) where rank <= 10",
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_dense(spark, sf_dir), 10, "similarity", "id").withColumn("rank", F.col("rank").cast("long"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return search.nearest(vectors, _vector_queries(spark, sf_dir), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -199,8 +200,8 @@ def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").cast("long").alias("dimension")).agg(F.count(F.lit(1)).alias("vectors"), F.count_if(fv.usable(F.col("embedding"), 64)).alias("usable"))
 
 
-HYBRID = f"""{bm25_sql(SEARCH_WORDS, 'len(list_distinct(w))', "select d.doc_id as query_id, d.text from documents d join embeddings e on e.vec_id = d.doc_id where e.vec_id % 50 = 0")},
-asks as (select vec_id as query_id, embedding as asked from embeddings where vec_id % 50 = 0),
+HYBRID = f"""{bm25_sql(SEARCH_WORDS, 'len(list_distinct(w))', "select d.doc_id as query_id, d.text from documents d join embeddings e on e.vec_id = d.doc_id where e.vec_id % 20 = 0")},
+asks as (select vec_id as query_id, embedding as asked from embeddings where vec_id % 20 = 0),
 dense as (select query_id, vec_id as id, round(list_cosine_similarity(embedding::double[], asked::double[]), 6) as similarity from embeddings, asks),
 dr as (select * from (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from dense) where rank <= 50),
 sr as (select * from (select query_id, doc_id as id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored) where rank <= 50),
@@ -214,9 +215,9 @@ fused as (
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, asked = table(spark, sf_dir, "documents"), _vector_queries(spark, sf_dir)
-    texts = docs.join(search.small(asked.select("query_id")), F.col("doc_id") == F.col("query_id")).select("query_id", "text")
+    texts = stored(docs.join(search.small(asked.select("query_id")), F.col("doc_id") == F.col("query_id")).select("query_id", "text"))
     sparse = search.top(search.bm25(docs, texts), 50, "score", "doc_id").withColumnRenamed("doc_id", "id")
-    dense = search.top(_dense(spark, sf_dir), 50, "similarity", "id")
+    dense = search.nearest(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), asked, 50)
     return docs, texts, search.fuse(dense, sparse)
 
 
@@ -248,14 +249,14 @@ def hybrid_rrf_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "multi_variant_search",
-    """with v as (select vec_id % 5 as query_id, vec_id as variant, embedding as asked from embeddings where vec_id % 50 < 5 and vec_id < 100),
+    """with v as (select vec_id // 100 as query_id, vec_id as variant, embedding as asked from embeddings where vec_id % 20 = 0),
     d as (select query_id, vec_id as id, round(list_cosine_similarity(embedding::double[], asked::double[]), 6) as similarity from embeddings, v)
     select query_id, id, max(similarity) as similarity from d group by all""",
 )
 def multi_variant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several vectors ask for one query; each hit keeps its best similarity."""
+    """The asking vectors of one hundred ids are variants of one query; each hit keeps its best similarity."""
     vectors = table(spark, sf_dir, "embeddings")
-    variants = vectors.filter("vec_id % 50 < 5 and vec_id < 100").select(F.struct((F.col("vec_id") % 5).alias("query_id"), F.col("vec_id").alias("variant")).alias("query_id"), "embedding")
+    variants = vectors.filter("vec_id % 20 = 0").select(F.struct(F.expr("vec_id div 100").alias("query_id"), F.col("vec_id").alias("variant")).alias("query_id"), "embedding")
     found = search.dense(vectors.select(F.col("vec_id").alias("id"), "embedding"), variants)
     return search.merged_by_best(found.select("query_id.query_id", "id", "similarity"))
 
@@ -275,6 +276,6 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("approximate_neighbours")
 def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random-projection neighbours; tests hold their recall against cosine_topk."""
+    """Inverted-file neighbours; a test holds their recall against cosine_topk."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return search.approximate_neighbours(vectors, _vector_queries(spark, sf_dir))

@@ -1,5 +1,6 @@
 """Loading of the Parquet tables that queries work on, and folders that all executors share."""
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (as in tests), below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    """A new folder below spark.checkpoint.dir; where that is unset, below the warehouse of a local session. Clusters must name the folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{base.rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame once below the shared folder and read it back, so that no later step computes it again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
