@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.sources.tables import stored
+
 
 def shares(df: DataFrame, by: str, digits: int = 1) -> DataFrame:
     """(by, count, percent): percent of all counted rows, to a decimal place."""
@@ -84,33 +86,31 @@ def first_spellings(df: DataFrame, key: str, tags: str = "tags") -> DataFrame:
 # --- hierarchies -------------------------------------------------------------------------------
 
 
-def closure(nodes: DataFrame, roots: DataFrame, key: str = "key", parent: str = "parent", most_levels: int = 64) -> DataFrame:
-    """(key, level, path): what can be reached from the roots, level by level, each node once, so cycles end."""
-    seen = roots.select(key).distinct().withColumn("level", F.lit(0)).withColumn("path", F.array(F.col(key).cast("string")))
-    edges, front = nodes.select(key, F.col(parent).alias("_up")), seen
-    for level in range(1, most_levels + 1):
+def closure(nodes: DataFrame, roots: DataFrame, key: str = "key", parent: str = "parent") -> DataFrame:
+    """(key, level, path): what can be reached from the roots, level by level until nothing is new; each node once, so cycles end. Levels are written down."""
+    front = stored(roots.select(key).distinct().withColumn("level", F.lit(0)).withColumn("path", F.array(F.col(key).cast("string"))))
+    seen, edges, level = front, nodes.select(key, F.col(parent).alias("_up")), 0
+    while not front.isEmpty():
+        level += 1
         up = front.select(F.col(key).alias("_up"), "path")
-        front = edges.join(up, "_up").select(key, F.lit(level).alias("level"), F.concat("path", F.array(F.col(key).cast("string"))).alias("path")).join(seen.select(key), key, "left_anti").dropDuplicates([key])
-        if front.isEmpty():
-            break
+        found = edges.join(up, "_up").select(key, F.lit(level).alias("level"), F.concat("path", F.array(F.col(key).cast("string"))).alias("path"))
+        front = stored(found.join(seen.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct("level", "path")).alias("x")).select(key, "x.level", "x.path"))
         seen = seen.unionByName(front)
     return seen
 
 
 def depth_first(nodes: DataFrame, key: str = "key", parent: str = "parent", name: str = "name") -> DataFrame:
-    """Nodes with level, ordered so that children follow their parent by name; nodes whose parent is missing vanish."""
-    from pyspark.sql.functions import concat, lit
-
+    """Nodes with level, ordered so that children follow their parent by name; nodes whose parent is missing vanish, and a node below itself is left out."""
     label = F.concat_ws("\u0001", F.col(name), F.col(key).cast("string"))
-    front = nodes.filter(F.col(parent).isNull()).select(key, name, parent, F.lit(0).alias("level"), label.alias("path"))
-    out, edges = front, nodes.select(key, name, parent, label.alias("_label"))
-    for level in range(1, 65):
-        up = front.select(F.col(key).alias("_up"), F.col("path").alias("_path"))
-        front = edges.join(up, F.col(parent) == F.col("_up")).select(key, name, parent, lit(level).alias("level"), concat("_path", lit("\u0002"), "_label").alias("path"))
-        if front.isEmpty():
-            break
+    front = stored(nodes.filter(F.col(parent).isNull()).select(key, name, parent, F.lit(0).alias("level"), label.alias("path"), F.array(key).alias("_above")))
+    out, edges, level = front, nodes.select(key, name, parent, label.alias("_label")), 0
+    while not front.isEmpty():
+        level += 1
+        up = front.select(F.col(key).alias("_up"), F.col("path").alias("_path"), "_above")
+        below = edges.join(up, (F.col(parent) == F.col("_up")) & ~F.array_contains("_above", F.col(key)))
+        front = stored(below.select(key, name, parent, F.lit(level).alias("level"), F.concat("_path", F.lit("\u0002"), "_label").alias("path"), F.concat("_above", F.array(key)).alias("_above")))
         out = out.unionByName(front)
-    return out.orderBy("path")
+    return out.drop("_above").orderBy("path")
 
 
 # --- change and merge --------------------------------------------------------------------------

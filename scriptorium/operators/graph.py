@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.sources.tables import stored
+
 
 def co_occurrence(rows: DataFrame, item: str, group: str, least: int = 1) -> DataFrame:
     """(a, b, weight): pairs of items with the number of groups they share, a < b, at the least or above."""
@@ -78,17 +80,23 @@ def linked_notes(links: DataFrame, notes: DataFrame) -> DataFrame:
     return links.join(named, "target").filter(F.col("source") != F.col("note_id")).select("source", F.col("note_id").alias("target")).distinct()
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community) by label propagation: each round a node takes the heaviest label around it, equal ones the least.
+def communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, community, settled) by label propagation: each round a node takes the heaviest label around it, equal ones the least.
 
-    A deterministic stand-in for modularity clustering. The state is checkpointed each round.
+    A deterministic stand-in for modularity clustering. Rounds end when no label changes, or when the labels
+    are those of two rounds before (nodes that swap theirs for ever) or the rounds are used up; then settled
+    is false. The state is written down each round.
     """
-    both = undirected(edges.select("a", "b", F.col("weight").cast("double").alias("weight"))).repartition("a")
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    both = stored(undirected(edges.select("a", "b", F.col("weight").cast("double").alias("weight"))))
+    labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    states, settled = [], False
+    for _ in range(most_rounds):
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         own = labels.select(F.col("node").alias("a"), "community").withColumn("w", F.lit(0.5))
         votes = seen.unionByName(own).groupBy("a", "community").agg(F.round(F.sum("w"), 6).alias("w"))
-        new = votes.groupBy("a").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("community")).withColumnRenamed("a", "node")
-        labels = new.checkpoint()
-    return labels
+        labels = stored(votes.groupBy("a").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("community")).withColumnRenamed("a", "node"))
+        states.append(labels.agg(F.sum(F.xxhash64("node", "community").cast("decimal(38,0)"))).first()[0])
+        settled = states[-1] == (states[-2] if len(states) > 1 else None)
+        if settled or states[-1] in states[-3:-1]:
+            break
+    return labels.withColumn("settled", F.lit(settled))
