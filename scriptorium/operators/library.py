@@ -87,7 +87,7 @@ def first_unseen(store: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return store.join(manifest.select(key).distinct(), key, "left_anti")
 
 
-def latest_analysis(runs: DataFrame, by: str, at: str) -> DataFrame:
-    """The newest run of each corpus."""
-    w = Window.partitionBy(by).orderBy(F.desc(at))
+def latest_analysis(runs: DataFrame, by: str, at: str, key: str) -> DataFrame:
+    """The newest run of each corpus; of runs at one time that with the least key."""
+    w = Window.partitionBy(by).orderBy(F.desc(at), key)
     return runs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -213,12 +213,13 @@ fused as (
 )"""
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, asking texts, fused list, dense list, sparse list."""
     docs, asked = table(spark, sf_dir, "documents"), _vector_queries(spark, sf_dir)
     texts = stored(docs.join(search.small(asked.select("query_id")), F.col("doc_id") == F.col("query_id")).select("query_id", "text"))
     sparse = search.top(search.bm25(docs, texts), 50, "score", "doc_id").withColumnRenamed("doc_id", "id")
     dense = search.nearest(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), asked, 50)
-    return docs, texts, search.fuse(dense, sparse)
+    return docs, texts, search.fuse(dense, sparse), dense, sparse
 
 
 @query(
@@ -231,7 +232,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 )
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents asking by their vector and text: fused ranks, doubled where a keyword occurs."""
-    docs, texts, fused = _hybrid(spark, sf_dir)
+    docs, texts, fused, _, _ = _hybrid(spark, sf_dir)
     boosted = search.boost_exact(fused, docs, texts).withColumn("score", F.round("score", 9))
     return search.top(boosted, 10, "score", "id").select("query_id", "id", F.round("similarity", 6).alias("similarity"), "is_exact", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -242,7 +243,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hybrid_rrf_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the boost, and the dense similarity as it is: the form for primary sources, notes and manuscripts."""
-    _, _, fused = _hybrid(spark, sf_dir)
+    _, _, fused, _, _ = _hybrid(spark, sf_dir)
     rounded = fused.withColumn("score", F.round("score", 9))
     return search.top(rounded, 10, "score", "id").select("query_id", "id", "dense_similarity", "score", F.col("rank").cast("long").alias("rank"))
 
