@@ -110,22 +110,62 @@ def section_chunks(docs: DataFrame, key: str = "doc_id", most: int = 300, overla
 
 
 def similarity_borders(vectors: DataFrame, group: str, order: str, embedding: str = "embedding", window: int = 3, least_gap: int = 3) -> DataFrame:
-    """Places in a sequence of vectors where the mean of a window turns away from the mean of the next: similarity under min(0.7, mean - 0.1).
+    """Places in a sequence of vectors where a new chunk begins: (group, order, similarity).
 
-    Of places nearer than ``least_gap`` the one with the lowest similarity stays.
+    The mean vectors of windows that begin one after the other are compared; behind a window whose similarity to
+    the next is under min(0.7, mean - 0.1) there is a border. Of borders nearer than ``least_gap`` the more
+    confident stays, the first of equal ones; confidence is the drop below the mean over 0.3, 1 at most. Sequences
+    under two windows have none. A sequence is a document, so its windows and this fold are one group.
     """
     from scriptorium.functions import vectors as fv
 
     w = Window.partitionBy(group).orderBy(order)
-    before = F.collect_list(embedding).over(w.rowsBetween(-window, -1))
-    after = F.collect_list(embedding).over(w.rowsBetween(0, window - 1))
     mean = lambda vs: F.aggregate(F.slice(vs, 2, window), F.transform(F.element_at(vs, 1), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    windows = vectors.select(group, order, before.alias("b"), after.alias("a")).filter((F.size("b") == window) & (F.size("a") == window))
-    scored = windows.select(group, order, F.round(fv.cosine(mean(F.col("b")), mean(F.col("a"))), 6).alias("similarity"))
-    limited = scored.withColumn("limit", F.least(F.lit(0.7), F.avg("similarity").over(Window.partitionBy(group)) - 0.1)).filter("similarity < limit")
-    near = Window.partitionBy(group).orderBy(order).rangeBetween(-(least_gap - 1), least_gap - 1)
-    best = F.min(F.struct("similarity", order)).over(near)
-    return limited.withColumn("best", best).filter(F.col(f"best.{order}") == F.col(order)).select(group, order, "similarity")
+    placed = vectors.select(
+        group,
+        (F.row_number().over(w) - 1 + window).alias("pos"),
+        F.lead(order, window).over(w).alias(order),
+        F.collect_list(embedding).over(w.rowsBetween(0, window - 1)).alias("a"),
+        F.collect_list(embedding).over(w.rowsBetween(1, window)).alias("b"),
+        F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"),
+    )
+    scored = placed.filter((F.size("b") == window) & (F.col("n") >= 2 * window)).select(group, "pos", order, F.round(fv.cosine(mean(F.col("a")), mean(F.col("b"))), 6).alias("similarity"))
+    rated = scored.withColumn("drop", F.avg("similarity").over(Window.partitionBy(group)) - F.col("similarity"))
+    low = rated.filter(F.col("similarity") < F.least(F.lit(0.7), F.col("drop") + F.col("similarity") - 0.1)).withColumn("sure", F.least(F.lit(1.0), F.col("drop") / 0.3))
+    listed = low.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", order, "similarity", "sure"))).alias("x"))
+    folded = F.expr(f"""
+        aggregate(slice(x, 2, greatest(size(x) - 1, 0)), slice(x, 1, 1), (m, y) ->
+            if(y.pos - element_at(m, -1).pos >= {least_gap}, concat(m, array(y)),
+               if(y.sure > element_at(m, -1).sure, concat(slice(m, 1, size(m) - 1), array(y)), m)))
+    """)
+    return listed.select(group, F.explode_outer(folded).alias("e")).select(group, f"e.{order}", "e.similarity")
+
+
+def bordered_chunks(sentences: DataFrame, borders: DataFrame, group: str, order: str, text: str = "text", least: int = 50, most: int = 500, overlap: int = 1) -> DataFrame:
+    """(group, chunk_index, first, n_words, content): sentences between borders.
+
+    A chunk under ``least`` words is left out unless it is the last; one over ``most`` is split before it exceeds
+    80 % of that, with the last ``overlap`` sentences told again. A document's sentences are one row's array.
+    """
+    marks = borders.select(group, order).distinct().withColumn("mark", F.lit(1))
+    placed = sentences.join(marks, [group, order], "left").withColumn("segment", F.sum(F.coalesce("mark", F.lit(0))).over(Window.partitionBy(group).orderBy(order)))
+    sized = placed.select(group, order, "segment", F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.size(F.split(F.col(text), r"\s+")).alias("n")).alias("s"))
+    listed = sized.groupBy(group, "segment").agg(F.array_sort(F.collect_list("s")).alias("x")).withColumn("words", F.expr("aggregate(x, 0, (a, y) -> a + y.n)"))
+    last = F.max("segment").over(Window.partitionBy(group))
+    kept = listed.withColumn("last", last).filter((F.col("words") >= least) | (F.col("segment") == F.col("last")))
+    target = most * 0.8
+    parts = F.expr(f"""
+        aggregate(sequence(0, size(x) - 1), named_struct('first', 0, 'n', 0, 'out', cast(array() as array<struct<first:int,stop:int>>)), (a, j) ->
+            if(a.n + get(x, j).n > {target} and j > a.first,
+               named_struct('first', greatest(a.first, j - {overlap}), 'n', aggregate(slice(x, greatest(a.first, j - {overlap}) + 1, j - greatest(a.first, j - {overlap})), 0, (b, y) -> b + y.n) + get(x, j).n, 'out', concat(a.out, array(named_struct('first', a.first, 'stop', j)))),
+               named_struct('first', a.first, 'n', a.n + get(x, j).n, 'out', a.out)),
+            a -> concat(a.out, array(named_struct('first', a.first, 'stop', size(x)))))
+    """)
+    whole = F.expr("array(named_struct('first', 0, 'stop', size(x)))")
+    cut = kept.withColumn("p", F.when(F.col("words") > most, parts).otherwise(whole))
+    shown = cut.select(group, "segment", F.explode_outer(F.expr("transform(p, c -> named_struct('first', get(x, c.first).o, 'n', aggregate(slice(x, c.first + 1, c.stop - c.first), 0, (a, y) -> a + y.n), 'content', array_join(transform(slice(x, c.first + 1, c.stop - c.first), y -> y.t), ' ')))")).alias("c"))
+    numbered = shown.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(group).orderBy("segment", "c.first")) - 1).cast("long"))
+    return numbered.select(group, "chunk_index", F.col("c.first").alias("first"), F.col("c.n").cast("long").alias("n_words"), F.col("c.content").alias("content"))
 
 
 def without_running_heads(pages: DataFrame, document: str = "doc_id", page: str = "page_number", share: float = 0.5) -> DataFrame:

@@ -240,6 +240,7 @@ def near_copies_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("section_chunks")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of sections packed; a test holds them against a plain loop."""
     return chunk.section_chunks(table(spark, sf_dir, "documents")).withColumn("content", F.md5("content"))
 
 
@@ -249,8 +250,18 @@ def embedding_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.similarity_borders(table(spark, sf_dir, "embeddings"), "label", "vec_id")
 
 
+@query("bordered_chunks")
+def bordered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sentences of their label's sequence, between the borders of its vectors; a test holds them against a plain loop."""
+    borders = embedding_borders(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    sentences = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select("label", "vec_id", ft.snippet(ft.present("text")).alias("text"))
+    return chunk.bordered_chunks(sentences, borders, "label", "vec_id").withColumn("content", F.md5("content"))
+
+
 @query("summaries")
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best sentences of each document; a test holds them against a plain loop."""
     return chunk.summaries(table(spark, sf_dir, "documents")).withColumn("sentence", F.md5("sentence"))
 
 
