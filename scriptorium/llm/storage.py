@@ -25,11 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Bytes of text that a task works on at once. A longer text is a slice of its own, so memory is bounded by it and the longest text.
-SLICE_BYTES, SLICE_ROWS = 1 << 20, 1024
+SLICE_BYTES, SLICE_ROWS = 768 << 10, 1024
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Parts of batches with about so many bytes in a text or binary column, and so many rows at most."""
+    """Parts of batches with about so many bytes of a text or binary column, and so many rows at most."""
     for b in batches:
         if not b.num_rows:
             continue

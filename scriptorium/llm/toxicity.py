@@ -5,11 +5,13 @@ Each place has its own learning rate, and the L1 term leaves most weights at exa
 a short list of (place, weight) with a size bound of 2 ** 22 entries, fit to be broadcast.
 
 Training reads a sample of at most ``most_rows`` labelled documents (by hash of the key, so it is the same
-on every run), in shards that are fitted side by side and averaged; scoring reads every whole text.
+on every run), in shards that are fitted side by side and averaged; scoring reads every whole text. A very
+long text is read whole as any other, on its own: a task holds the features of one slice of about a
+megabyte, or of one text, and while fitting those of its shard's documents.
 
 Defined results: a null or wordless text has no feature and gets the score of the intercept; null labels
-and keys are not learned from; of several labels of one document the larger counts; repeated rows are
-scored alike; without any labelled document, or with labels of one kind only, the score is the share of
+and keys are not learned from; of several labels of one document the larger counts, and of several texts
+the least is learned from; repeated rows are scored alike; without any labelled document, or with labels of one kind only, the score is the share of
 label 1, 0 if there is none; an empty table gives no rows; columns that aren't named are ignored.
 """
 
@@ -22,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.llm.storage import tidy
+from scriptorium.llm.storage import slices, tidy
 from scriptorium.llm.text import mix, word_hashes
 
 BITS, MOST_ROWS, SHARD_ROWS, EPOCHS = 22, 24_000, 6_000, 10
@@ -72,12 +75,11 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[
 
 def _fit_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[np.ndarray, int]] = []
-    for b in batches:
-        for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-            owner, places = features(part.column(1).to_pylist())
-            keys = np.unique(owner << BITS | places)
-            at = np.searchsorted(keys >> BITS, np.arange(part.num_rows + 1))
-            rows += [((keys[u:v] & (1 << BITS) - 1).astype(np.int32), y) for u, v, y in zip(at[:-1], at[1:], part.column(2).to_pylist())]
+    for part in slices(batches, 1):
+        owner, places = features(part.column(1).to_pylist())
+        keys = np.unique(owner << BITS | places)
+        at = np.searchsorted(keys >> BITS, np.arange(part.num_rows + 1))
+        rows += [((keys[u:v] & (1 << BITS) - 1).astype(np.int32), y) for u, v, y in zip(at[:-1], at[1:], part.column(2).to_pylist())]
     if rows:
         places, weights, intercept = fit_rows(rows)
         yield pa.RecordBatch.from_arrays([pa.array([places.astype(np.int32).tobytes()]), pa.array([weights.astype(np.float32).tobytes()]), pa.array([intercept]), pa.array([len(rows)], pa.int64())], names=["places", "weights", "intercept", "rows"])
@@ -94,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(chosen, known.schema))  # most_rows at most
     shards = max(1, round(n / shard_rows))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(small, "key").select("key", "text", "label")
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(small, "key").groupBy("key", "label").agg(F.min("text").alias("text")).select("key", "text", "label")
     dealt = rows.repartition(shards, F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards))).sortWithinPartitions(F.xxhash64("key"), "key", "text")
     fitted = dealt.mapInArrow(tidy(_fit_shard), "places binary, weights binary, intercept double, rows long").collect()
     total = sum(r["rows"] for r in fitted)
@@ -107,41 +110,43 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(places, dense[places], sum(r["intercept"] * r["rows"] for r in fitted) / total)
 
 
-def _score(model: Model):
+def _slice_scores(model: Model, texts: list[str | None], dense: np.ndarray) -> np.ndarray:
+    if model.constant is not None:
+        return np.full(len(texts), model.constant)
+    owner, places = features(texts)
+    some = np.flatnonzero(dense[places])
+    keys = np.unique(owner[some] << BITS | places[some])
+    sums = np.bincount(keys >> BITS, dense[keys & (1 << BITS) - 1].astype(float), len(texts)) + model.intercept
+    return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
+
+
+def _score(model: Model, text: int, kept: list[int], names: list[str]):
+    """The kept columns of each batch and the scores of a text column."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << BITS, np.float32)
         dense[model.places] = model.weights
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                if model.constant is None:
-                    owner, places = features(part.column(1).to_pylist())
-                    some = dense[places] != 0
-                    keys = np.unique(owner[some] << BITS | places[some])
-                    sums = np.bincount(keys >> BITS, dense[keys & (1 << BITS) - 1].astype(float), part.num_rows) + model.intercept
-                    scores = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
-                else:
-                    scores = np.full(part.num_rows, model.constant)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=[part.schema.names[0], "score"])
+            found = [_slice_scores(model, part.column(text).to_pylist(), dense) for part in slices(iter([b]), text)]
+            if found:
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(np.concatenate(found))], names=names)
 
     return score
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score of every row."""
-    kind = docs.schema[key].dataType.simpleString()
+    schema = T.StructType([docs.schema[key], T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(tidy(lambda x: _score(shared.value)(x)), f"{key} {kind}, score double")
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(tidy(lambda x: _score(shared.value, 1, [0], [key, "score"])(x)), schema)
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """All rows and columns with a score each; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    score = F.pandas_udf(lambda texts: _series(shared.value, texts), "double")
-    return docs.withColumn(to, score(F.col(text).cast("string")))
-
-
-def _series(model: Model, texts):
-    import pandas as pd
-
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([None if x is None or x != x else x for x in texts], pa.string())], names=["key", "text"])
-    return pd.Series(np.concatenate([b.column(1).to_numpy() for b in _score(model)([batch])] or [np.empty(0)]))
+    kept = [i for i, f in enumerate(docs.schema) if f.name != to]
+    schema = T.StructType([*(docs.schema[i] for i in kept), T.StructField(to, T.DoubleType())])
+    at, names = docs.columns.index(text), schema.names
+    strings = docs.withColumn(text, F.col(text).cast("string"))
+    order = docs.columns if to in docs.columns else names
+    return strings.mapInArrow(tidy(lambda x: _score(shared.value, at, kept, names)(x)), schema).select(*(f"`{c}`" for c in order))

@@ -3,6 +3,7 @@
 import brute
 import pytest
 from oracle import differences
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptorium.llm.queries import ORACLES, QUERIES
@@ -85,9 +86,11 @@ def test_pipeline_with_nulls_repeats_and_clashing_columns(spark):
     words = "a few plain words that make a text of some length which is here repeated " * 2
     rows = [(1, words, "en", "s", 1, "k"), (1, words, "en", "s", 1, "k"), (2, words + "end", None, None, None, "k"), (3, None, None, None, None, None), (4, "", "en", "s", 0, "k"), (None, "other words entirely", "en", "s", 1, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string")
+    clashing = ["_kept", "_score", "_text_hash", "_key", "_hash", "key", "row", "score", "spans", "text_hash", "class"]
+    docs = docs.select("*", *[F.lit(7).alias(c) for c in clashing])
     for name, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, SF))
-        assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "label"]
+        assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", *clashing]
     assert sorted({r.doc_id for r in docs.collect()}, key=repr) == [1, 3, 4, None]
 
 
