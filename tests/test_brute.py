@@ -186,3 +186,24 @@ def test_entropy_by_counts_in_the_row(spark, n):
     r = ft.with_counts(spark.createDataFrame([(words,), ([],)], "w array<string>"), "w", "c").collect()
     assert {x["word"]: x["count"] for x in r[0].c} == Counter(words) and r[1].c == []
     assert math.isclose(sum(x["count"] for x in r[0].c), len(words))
+
+
+def test_preprocessing_and_ingest(spark):
+    """Recurring heads and page numbers go, and what is left is cut, rated and told once."""
+    from scriptorium.operators import archive
+
+    body = [" ".join(f"{name} {w} stands here in a sentence of page {name}." for w in map(chr, range(97, 123))) for name in ("alpha", "beta", "gamma", "delta")]
+    pages = [(1, k, f"The Running Head\n{body[k]}\n{k + 1}\nfoot of the book") for k in range(4)] + [(2, 0, "too short"), (3, 0, None)]
+    df = spark.createDataFrame(pages, "doc_id long, page_number long, text string")
+    clean = archive.preprocessed(df)
+    got = {(r.doc_id, r.page_number): r for r in clean.collect()}
+    assert [got[1, k].text for k in range(4)] == body
+    assert all(got[1, k].heads_removed == 2 and got[1, k].numbers_removed for k in range(4)) and got[2, 0].text == "too short" and got[3, 0].text == ""
+    sums = {r.doc_id: r for r in archive.preprocess_statistics(clean).collect()}
+    assert (sums[1].heads_removed, sums[1].pages_unnumbered, sums[1].processed_length) == (8, 4, sum(map(len, body)))
+    assert sums[1].characters_removed == sum(len(t) for d, _, t in pages if d == 1) - sums[1].processed_length
+    found = archive.ingested(df).orderBy("chunk_index").collect()
+    words = "\n\n".join(body).split()
+    assert {r.doc_id for r in found} == {1} and [r.chunk_index for r in found] == list(range(len(found))) and all(0 < r.score <= 1 for r in found)
+    assert found[0].content.split() == words[: len(found[0].content.split())] and found[-1].content.split() == words[-len(found[-1].content.split()) :]
+    assert QUERIES["ingested_books"](spark, SF).count() >= 0 and QUERIES["preprocessed_pages"](spark, SF).count() > 0
