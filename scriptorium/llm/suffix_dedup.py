@@ -1,8 +1,11 @@
 """Removal of byte strings that an earlier document has, by suffix arrays.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller key. Three
-lossless filters bring together only what can match; suffix arrays decide, except for whole pieces that
-have the same 63-bit hash (step 2), which go without a comparison of bytes.
+filters bring together only what can match; suffix arrays decide, except for whole pieces that have the
+same anchor and the same 63-bit hash (step 2): they count as one text that several documents hold, and go
+without a comparison of bytes. Two different pieces pass for one with a probability of 2 ** -63 for each
+pair of different pieces of one anchor: in 100 TB there are some 10 ** 14 such pairs, so a wrong removal
+has a chance of about one in 100,000.
 
 1. Every 50-byte string (window) is assigned to the least 16-byte hash in it, its anchor; the strings of
    one anchor in a row form a piece of at most 84 bytes. Equal windows have equal anchors. Anchor and
@@ -22,7 +25,10 @@ have the same 63-bit hash (step 2), which go without a comparison of bytes.
 Texts cross the network twice, compressed; everything else is hashes. A hot passage is reduced to one
 row per task before any shuffle.
 
-Defined results: a null text is empty; texts under 50 bytes stay whole; matches never cross documents;
+Keys must be whole numbers (an error says so), as documents are ranked by them.
+
+Defined results: a null text is empty; texts under 50 bytes stay whole; a very long text is worked on
+whole, on its own; matches never cross documents;
 rows of one key never remove from each other; a null key counts as larger than all others; an empty
 table gives no rows; columns that aren't named are ignored.
 """
@@ -39,15 +45,18 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm.lyndon import suffix_array
-from scriptorium.llm.storage import staged, tidy
+from scriptorium.llm.storage import slices, staged, tidy
 from scriptorium.llm.text import _BYTE, mix
 
 LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
-SLICE_BYTES, FLUSH_PIECES, ARRAY_BYTES, GROUP_BYTES = 2 << 20, 600_000, 128 << 10, 1 << 20
+FLUSH_PIECES, ARRAY_BYTES, GROUP_BYTES = 600_000, 128 << 10, 1 << 20
 NONE = np.iinfo(np.int64).max  # stands for a null key
+#: Bytes that one suffix array has, unless one group has more.
+SUFFIXES = 8 << 10
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,17 +104,6 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return owner[first], first - at[owner[first]], count, least[first], whole & ~np.uint64(1)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of batches with about SLICE_BYTES of text each."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES, prepend=0)).tolist()
-        for u, v in itertools.pairwise(sorted({0, *cut, b.num_rows})):
-            yield b.slice(u, v - u)
-
-
 def _utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -197,7 +195,7 @@ def _announce(buckets: int):
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in _slices(batches, 1):
+        for part in slices(batches, 1):
             owner, _, _, anchor, piece = pieces(_utf8(part.column(1)))
             if len(owner):
                 held.append((_keys(part.column(0))[owner], anchor, piece))
@@ -366,7 +364,7 @@ def _answers(buckets: int):
 def repeated_windows(groups: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
     """For each (key, text, group): which of its 50-byte windows a text of its group with a smaller key has.
 
-    One suffix array over the distinct texts' windows that may repeat.
+    Suffix arrays over the distinct texts' windows that may repeat, whole groups at a time.
     """
     flags = [np.zeros(len(t) - LENGTH + 1, bool) for _, t, _ in groups]
     # windows whose hash one text of the group alone has are cut off
@@ -387,39 +385,58 @@ def repeated_windows(groups: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
     kept[where[order[several[np.cumsum(new) - 1]]]] = True
     # maximal runs of windows left, each distinct text once
     edge = np.flatnonzero(kept & ~np.concatenate([[False], kept[:-1]]) | kept & np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
-    texts: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-    for u in edge.tolist():
-        i = int(owner[u])
-        v = u
-        stop = int(at[i + 1]) - LENGTH
-        gap = np.flatnonzero(~kept[u : stop + 1])
-        v = u + int(gap[0]) if len(gap) else stop + 1
-        raw = groups[i][1][u - int(at[i]) : v - int(at[i]) - 1 + LENGTH]
-        texts.setdefault((groups[i][2], raw), []).append((groups[i][0], i, u - int(at[i])))
-    if not texts:
-        return flags
-    symbols: list[int] = []
-    begin, least, of_group = [], [], []
-    for (g, raw), holders in texts.items():
-        begin.append(len(symbols))
-        least.append(min(h[0] for h in holders))
-        of_group.append(g)
-        symbols += [b + 2 for b in raw]
-        symbols.append(1)
-    symbols.append(0)
-    array = np.array(suffix_array(symbols))
-    values = np.array(symbols, np.int16)
+    texts: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
+    stops = np.flatnonzero(~kept)
+    ends = stops[np.searchsorted(stops, edge)]  # the first window after each run that is cut off or in another text
+    owners = owner[edge]
+    ends = np.minimum(ends, at[owners + 1] - LENGTH + 1)
+    for u, v, i in zip(edge.tolist(), ends.tolist(), owners.tolist()):
+        place = u - int(at[i])
+        raw = groups[i][1][place : v - int(at[i]) - 1 + LENGTH]
+        texts.setdefault(groups[i][2], {}).setdefault(raw, []).append((groups[i][0], i, place))
+    # groups are apart, so they are dealt to several small arrays, which are faster than a large one
+    part: list[dict[bytes, list[tuple[int, int, int]]]] = []
+    size = 0
+    for of_group in texts.values():
+        if size and size + sum(map(len, of_group)) > SUFFIXES:
+            _decide_windows(part, flags)
+            part, size = [], 0
+        part.append(of_group)
+        size += sum(map(len, of_group))
+    if part:
+        _decide_windows(part, flags)
+    return flags
+
+
+def _decide_windows(groups: list[dict[bytes, list[tuple[int, int, int]]]], flags: list[np.ndarray]) -> None:
+    """One suffix array over the distinct texts of some groups; sets the flags of the windows that a smaller key has."""
+    begin, least, of_group, parts = [], [], [], []
+    at = 0
+    for g, texts in enumerate(groups):
+        for raw, holders in texts.items():
+            begin.append(at)
+            least.append(min(h[0] for h in holders))
+            of_group.append(g)
+            parts.append(raw)
+            at += len(raw) + 1
+    # symbols from 2 on, each text ended by 1, all by 0
+    values = np.zeros(at + 1, np.uint16)
+    values[:at] = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
+    values[:at] += 2
     begins = np.array(begin)
-    text_of = np.searchsorted(begins, np.arange(len(values)), "right") - 1
-    ends = np.append(begins[1:], len(values) - 1) - 1
-    window = np.arange(len(values)) + LENGTH <= ends[text_of]
+    ends = np.append(begins[1:], at) - 1
+    values[ends] = 1
+    array = np.array(suffix_array(values))
+    text_of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, at)))
+    text_of = np.append(text_of, len(begins) - 1)
+    window = np.arange(at + 1) + LENGTH <= ends[text_of]
     window[-1] = False
     ranked = array[window[array]]
     view = np.lib.stride_tricks.sliding_window_view(values, LENGTH)
     groups_of = np.array(of_group)[text_of[ranked]]
     same = np.zeros(len(ranked), bool)
-    for i in range(0, len(ranked) - 1, 1 << 16):
-        j = min(i + (1 << 16), len(ranked) - 1)
+    for i in range(0, len(ranked) - 1, 1 << 14):
+        j = min(i + (1 << 14), len(ranked) - 1)
         same[i + 1 : j + 1] = (view[ranked[i:j]] == view[ranked[i + 1 : j + 1]]).all(axis=1)
     run = np.cumsum(~same) - 1
     # within a run of equal windows, groups are apart
@@ -427,13 +444,12 @@ def repeated_windows(groups: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
     ranked, run, groups_of = ranked[split], run[split], groups_of[split]
     new = _firsts(run, groups_of)
     smallest = np.minimum.reduceat(np.array(least)[text_of[ranked]], np.flatnonzero(new))[np.cumsum(new) - 1]
-    low = np.full(len(values), NONE, np.int64)
+    low = np.full(at + 1, NONE, np.int64)
     low[ranked] = smallest
-    for b, e, holders in zip(begin, ends.tolist(), texts.values()):
+    for b, e, holders in zip(begin, ends.tolist(), (h for texts in groups for h in texts.values())):
         n = e - b - LENGTH + 1
         for key, i, u in holders:
             flags[i][u : u + n] |= low[b : b + n] < key
-    return flags
 
 
 def _range_rows(rows: list[tuple], flags: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -551,6 +567,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """One row per row: key, text_hash (xxhash64 of the text), n_bytes, spans (first byte, byte after the last) removed, kept bytes."""
     spark = df.sparkSession
+    if not isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{key} must be a column of whole numbers, not {df.schema[key].dataType.simpleString()}")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("text_hash"))

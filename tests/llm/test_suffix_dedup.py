@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from frames import ODD_ROWS, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,6 +24,11 @@ def test_suffix_array_of_runs_and_powers():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_keys_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def check(spark, rows, **options):
     got = suffix_dedup.remove_repeats(documents(spark, rows), **options).collect()
     assert len(got) == len(rows)
