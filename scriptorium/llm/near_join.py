@@ -14,7 +14,12 @@ Defined results: one row per input row. A text of one to four words has one shin
 or wordless text has none, links to nothing and is its own class. class_id is the least key linked to
 it directly or over others, n_links the number of other rows with similarity of at least 0.8, copies
 included; repeated rows count as copies. A null key takes part in links but is never a class_id unless
-all keys of the class are null. An empty table gives no rows; columns that aren't named are ignored.
+all keys of the class are null. A very long text is read whole, on its own, and its set is compared like any
+other. An empty table gives no rows; columns that aren't named are ignored.
+
+A candidate group of M different sets costs M * M / 2 comparisons, in blocks of 512 that share nothing: where
+all are near copies of each other, as counts of links want them all; in a chain of documents of which only
+neighbours are alike, more than need be.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.graph import components
-from scriptorium.llm.storage import staged, tidy
+from scriptorium.llm.storage import slices, staged, tidy
 from scriptorium.llm.text import mix, word_hashes
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-7
@@ -81,14 +86,13 @@ def minimum_hashes(shingles: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                sets = shingle_sets(part.column(2).to_pylist(), size)
-                ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([minimum_hashes(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["key", "text_hash", "members", "hashes"],
-                )
+        for part in slices(batches, 2):
+            sets = shingle_sets(part.column(2).to_pylist(), size)
+            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([minimum_hashes(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                names=["key", "text_hash", "members", "hashes"],
+            )
 
     return sketch
 
@@ -171,12 +175,11 @@ def in_blocks(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
 
 def _refetch(size: int):
     def refetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                sets = shingle_sets(part.column(4).to_pylist(), size)
-                same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == m for s, m in zip(sets, part.column(3).to_pylist())]
-                k = pa.array(np.flatnonzero(same))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(k) for c in range(3)), pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())], names=["label", "set", "n", "shingles"])
+        for part in slices(batches, 4):
+            sets = shingle_sets(part.column(4).to_pylist(), size)
+            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == m for s, m in zip(sets, part.column(3).to_pylist())]
+            k = pa.array(np.flatnonzero(same))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(k) for c in range(3)), pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())], names=["label", "set", "n", "shingles"])
 
     return refetch
 
