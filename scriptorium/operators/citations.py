@@ -63,7 +63,7 @@ def citation_keys(text: Column) -> Column:
 
 def missing_keys(chapters: DataFrame, bibliography: DataFrame, chapter: str = "chapter", text: str = "text", key: str = "key") -> DataFrame:
     """(key, chapters, uses) of keys that are cited and not in the bibliography."""
-    used = chapters.select(chapter, F.explode(citation_keys(ft.present(text))).alias(key))
+    used = chapters.select(chapter, F.explode_outer(citation_keys(ft.present(text))).alias(key)).filter(F.col(key).isNotNull())
     absent = used.groupBy(chapter, key).agg(F.count(F.lit(1)).alias("n")).join(bibliography.select(key).distinct(), key, "left_anti")
     return absent.groupBy(key).agg(F.array_sort(F.collect_set(chapter)).alias("chapters"), F.sum("n").alias("uses"))
 

@@ -85,7 +85,7 @@ def detect(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     dates = F.regexp_extract_all(text, F.lit(r"(\d{1,2}\s+\p{Ll}+\s+\d{4}|\d{4}\s*[-–]\s*\d{4})"), 1)
     names = F.regexp_extract_all(text, F.lit(r"(\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)+)"), 1)
     both = F.concat(F.transform(dates, lambda d: F.struct(d.alias("name"), F.lit("DATE").alias("kind"))), F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("PERSON").alias("kind"))))
-    return docs.select(key, F.explode(both).alias("e")).select(key, "e.name", "e.kind")
+    return docs.select(key, F.explode_outer(both).alias("e")).filter("e is not null").select(key, "e.name", "e.kind")
 
 
 def without_copies(mentions: DataFrame, name: str = "name", kind: str = "kind", context: str = "context") -> DataFrame:

@@ -160,7 +160,7 @@ def entity_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity nodes: long words as entities with at least two mentions, the hundred most mentioned."""
     words = F.array_distinct(F.filter(F.split(ft.fold_accents(ft.present("text")), "[^a-z]+"), lambda w: F.length(w) >= 8))
-    counts = table(spark, sf_dir, "documents").select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("mentions"))
+    counts = table(spark, sf_dir, "documents").select(F.explode_outer(words).alias("term")).filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("mentions"))
     return counts.filter("mentions >= 2").orderBy(F.desc("mentions"), "term").limit(100)
 
 

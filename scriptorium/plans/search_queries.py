@@ -42,7 +42,7 @@ ITEMS = "select item_id as query_id, text from benchmark"
 
 def _frequent_query(docs: DataFrame) -> DataFrame:
     """One query of the three most frequent words of six letters and more."""
-    words = docs.select(F.explode(ft.search_words(ft.present("text"))).alias("term")).filter("length(term) >= 6")
+    words = docs.select(F.explode_outer(ft.search_words(ft.present("text"))).alias("term")).filter("length(term) >= 6")
     top = words.groupBy("term").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "term").limit(3)
     return top.agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("text")).select(F.lit(0).cast("long").alias("query_id"), "text")
 

@@ -148,7 +148,7 @@ def clean_ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower(ft.present("text")), r"[^\p{L}]+"), lambda w: F.length(w) >= 5))
-    exploded = table(spark, sf_dir, "documents").select(F.explode(words).alias("keyword"))
+    exploded = table(spark, sf_dir, "documents").select(F.explode_outer(words).alias("keyword")).filter("keyword is not null")
     return exploded.groupBy("keyword").agg(F.count(F.lit(1)).alias("documents")).orderBy(F.desc("documents"), "keyword").limit(100)
 
 
