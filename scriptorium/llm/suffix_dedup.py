@@ -310,6 +310,20 @@ def _bucket_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[d
 RANGES = "bucket int, payload binary, anchor long, key long, hash long, firsts binary, text binary"
 
 
+def _lookup(keys: np.ndarray, values: np.ndarray):
+    """A function that tells which (key, value) pairs are among these, which are sorted by key, then value."""
+    some_keys, some_values = np.unique(keys), np.unique(values)
+    pairs = np.searchsorted(some_keys, keys) * len(some_values) + np.searchsorted(some_values, values)
+
+    def among(k: np.ndarray, v: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(some_keys, k), len(some_keys) - 1)
+        j = np.minimum(np.searchsorted(some_values, v), len(some_values) - 1)
+        at = np.minimum(np.searchsorted(pairs, i * len(some_values) + j), len(pairs) - 1)
+        return (some_keys[i] == k) & (some_values[j] == v) & (pairs[at] == i * len(some_values) + j)
+
+    return among
+
+
 def _answers(buckets: int):
     """Known pieces as byte ranges for the documents, and the texts of the asked pieces."""
 
@@ -322,6 +336,7 @@ def _answers(buckets: int):
                 values = np.concatenate([m["v_piece"] for m in told]) if told else np.empty(0, np.uint64)
                 order = np.lexsort((values, keys))
                 keys, values = keys[order], values[order]
+                told_of = _lookup(keys, values)
             if not len(keys):
                 continue
             doc_keys, hashes, texts = _documents(blob)
@@ -332,24 +347,18 @@ def _answers(buckets: int):
             if not len(some):
                 continue
             owner, first, count, anchor, piece = pieces([texts[i] for i in some.tolist()])
-            bounds = np.searchsorted(owner, np.arange(len(some) + 1))
-            for k, i in enumerate(some.tolist()):
-                u, v = bounds[k], bounds[k + 1]
-                verdict, mine = values[low[i] : high[i]], piece[u:v]
-                known = np.isin(mine, verdict[(verdict & np.uint64(1)) == 0])
-                if known.any():
-                    n = int(known.sum())
-                    ranges.append((np.full(n, doc_keys[i]), np.full(n, hashes[i]), first[u:v][known], first[u:v][known] + count[u:v][known] - 1 + LENGTH))
-                asked = np.isin(mine | np.uint64(1), verdict)
-                if asked.any():
-                    at = u + np.flatnonzero(asked)
-                    at = at[np.argsort(piece[at], kind="stable")]
-                    starts = np.flatnonzero(_firsts(piece[at])).tolist()
-                    for low_at, high_at in zip(starts, [*starts[1:], len(at)]):
-                        j = at[low_at]
-                        f = int(first[j])
-                        places = first[at[low_at:high_at]].astype(np.int64).tobytes()
-                        out.append((int(anchor[j].astype(np.int64)), int(doc_keys[i]), int(hashes[i]), places, texts[i][f : f + int(count[j]) - 1 + LENGTH]))
+            owner = some[owner]
+            known = told_of(doc_keys[owner], piece)
+            if known.any():
+                ranges.append((doc_keys[owner[known]], hashes[owner[known]], first[known], first[known] + count[known] - 1 + LENGTH))
+            at = np.flatnonzero(told_of(doc_keys[owner], piece | np.uint64(1)))
+            at = at[np.lexsort((piece[at], owner[at]))]
+            starts = np.flatnonzero(_firsts(owner[at], piece[at])) if len(at) else at
+            for low_at, high_at in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+                j = at[low_at]
+                i, f = int(owner[j]), int(first[j])
+                places = first[at[low_at:high_at]].astype(np.int64).tobytes()
+                out.append((int(anchor[j].astype(np.int64)), int(doc_keys[i]), int(hashes[i]), places, texts[i][f : f + int(count[j]) - 1 + LENGTH]))
             if ranges:
                 key, digest, u, v = (np.concatenate(x) for x in zip(*ranges))
                 rows = _messages(_key_bucket(key, buckets), {"key": key, "hash": digest, "first": u, "last": v}, "r")
@@ -454,11 +463,17 @@ def _decide_windows(groups: list[dict[bytes, list[tuple[int, int, int]]]], flags
 
 def _range_rows(rows: list[tuple], flags: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
     """(key, hash, first, last) of the flagged windows of (group, key, hash, firsts, text) rows."""
+    # all flags in a row, one unflagged place between those of two rows
+    begins = np.cumsum([0, *(len(f) + 1 for f in flags)])
+    every = np.zeros(begins[-1] + 1, np.int8)
+    for u, f in zip((begins[:-1] + 1).tolist(), flags):
+        every[u : u + len(f)] = f
+    edge = np.flatnonzero(every[1:] != every[:-1])
+    owner = np.searchsorted(begins, edge[::2], "right") - 1
     out = []
-    for (_, key, digest, firsts, _), f in zip(rows, flags):
-        edge = np.flatnonzero(np.diff(f.astype(np.int8), prepend=0, append=0))
-        for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            out += [(key, digest, first + u, first + v - 1 + LENGTH) for first in np.frombuffer(firsts, np.int64).tolist()]
+    for i, u, v in zip(owner.tolist(), (edge[::2] - begins[owner]).tolist(), (edge[1::2] - begins[owner]).tolist()):
+        _, key, digest, firsts, _ = rows[i]
+        out += [(key, digest, first + u, first + v - 1 + LENGTH) for first in np.frombuffer(firsts, np.int64).tolist()]
     return out
 
 
