@@ -35,25 +35,30 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.held > self.most:
             self.older, self.known, self.held = self.known, {"": b""}, 0
-        known, split, found, new = self.known, [], [], set()
+        known, found, gaps, new = self.known, [], [], set()
         for text in texts:
             words = (text or "").replace("\n", " ").split(" ")
             got = list(map(known.get, words))
             if None in got:
-                new.update([w for w, g in zip(words, got) if g is None])
-                got = None
-            split.append(words if got is None else None)
+                at = [i for i, g in enumerate(got) if g is None]
+                missing = [words[i] for i in at]
+                new.update(missing)
+                gaps.append((got, at, missing))
             found.append(got)
         if new:
             formed = {w: self._forms(w) for w in new} if self.parts else {w: (w,) for w in new}
             ids = self._ids({f for forms in formed.values() for f in forms})
             for w, forms in formed.items():
-                self._remember(w, b"".join(map(ids.__getitem__, forms)))
-        return [b"".join(g if w is None else map(known.__getitem__, w)) for w, g in zip(split, found)]
+                known[w] = x = ids[forms[0]] if len(forms) == 1 else ids[forms[0]] + ids[forms[1]]
+                self.held += len(w) + len(x) + 150
+            for got, at, missing in gaps:
+                for i, w in zip(at, missing):
+                    got[i] = known[w]
+        return [b"".join(got) for got in found]
 
     def _forms(self, word: str) -> tuple[str, ...]:
         """The words whose ids make up a word's. Words that may hold a special token, or characters beyond Latin-1, keep their form."""
-        if "<" in word or not word or max(word) > LATIN:
+        if "<" in word or not word or not word.isascii() and max(word) > LATIN:
             return (word,)
         stem = word.rstrip(MARKS)
         if not stem[-1:].isalpha():
@@ -71,7 +76,7 @@ class Encoder:
                 ids = older(w)
             if ids is not None:
                 out[w] = ids
-            elif self.parts and w.isalpha() and max(w) <= LATIN and w == w.lower():
+            elif self.parts and w.isalpha() and (w.isascii() or max(w) <= LATIN) and w == w.lower():
                 out[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
             else:
                 rest.append(w)
@@ -79,10 +84,6 @@ class Encoder:
             out[w] = array("I", e.ids).tobytes()
         return out
 
-    def _remember(self, word: str, ids: bytes) -> None:
-        self.known[word] = ids
-        self.held += len(word) + len(ids) + 150
-
 
 #: Marks that a letter before them is parted from.
 MARKS = ".,;:!?)%&"
