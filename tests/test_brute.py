@@ -192,7 +192,7 @@ def test_preprocessing_and_ingest(spark):
     """Recurring heads and page numbers go, and what is left is cut, rated and told once."""
     from scriptorium.operators import archive
 
-    body = [" ".join(f"{name} {w} stands here in a sentence of page {name}." for w in map(chr, range(97, 123))) for name in ("alpha", "beta", "gamma", "delta")]
+    body = [" ".join(f"{name}{w} {w}mill{name} {w}{w}hall {w}tower{name} fell." for w in map(chr, range(97, 123))) for name in ("alpha", "beta", "gamma", "delta")]
     pages = [(1, k, f"The Running Head\n{body[k]}\n{k + 1}\nfoot of the book") for k in range(4)] + [(2, 0, "too short"), (3, 0, None)]
     df = spark.createDataFrame(pages, "doc_id long, page_number long, text string")
     clean = archive.preprocessed(df)
