@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm import chat, decontaminate, langid, matroska, near_join, packing, suffix_dedup, token_files, toxicity, warc
+from scriptorium.llm import alignment, chat, decontaminate, fim, langid, matroska, near_join, packing, suffix_dedup, token_files, toxicity, warc
 from scriptorium.llm.storage import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,50 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: class over links of 0.8 and more, and number of links."""
     return near_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids by two tokenizers, aligned over bytes, with corpus-wide counts of linked ids."""
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' lines as prefix, suffix and middle, and the texts restored from them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fim.with_restored(fim.fill_in_middle(docs))
+    return found.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+with d as (
+    select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), u as (
+    select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as lines,
+        cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+        cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4
+    from d
+), c as (
+    select *, len(lines) as n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as low, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as high,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+            when h4 % 100 < 50 then 'spm' else 'psm' end as form
+    from u
+), p as (
+    select *, coalesce(array_to_string(lines[1 : low], ''), '') as prefix, coalesce(array_to_string(lines[low + 1 : high], ''), '') as middle,
+        coalesce(array_to_string(lines[high + 1 : n], ''), '') as suffix
+    from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(text) as restored_sha256
+from p
+"""

@@ -18,7 +18,7 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def texts(spark):
