@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm import alignment, chat, decontaminate, fim, langid, matroska, near_join, packing, suffix_dedup, token_files, toxicity, warc
+from scriptorium.llm import alignment, chat, decontaminate, fim, langid, matroska, mil, near_join, packing, suffix_dedup, token_files, toxicity, warc
 from scriptorium.llm.storage import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,6 +190,14 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+@_query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' quality, learned from the labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = mil.fit(docs, _table(spark, sf_dir, "labels").filter(~_fold(5, 0)))
+    return mil.scores(docs, model).select("doc_id", _fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @_query
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids by two tokenizers, aligned over bytes, with corpus-wide counts of linked ids."""
