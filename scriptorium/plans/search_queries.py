@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
 from scriptorium.functions import vectors as fv
-from scriptorium.operators import search
+from scriptorium.operators import neighbour_graph, search
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import stored, table
 
@@ -277,6 +277,7 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("approximate_neighbours")
 def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted-file neighbours; a test holds their recall against cosine_topk."""
+    """Neighbours by the graph index; a test holds their recall and their comparisons against cosine_topk."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return search.approximate_neighbours(vectors, _vector_queries(spark, sf_dir))
+    index = neighbour_graph.build(vectors, 64)
+    return neighbour_graph.search(index, _vector_queries(spark, sf_dir), 10, 64)

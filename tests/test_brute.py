@@ -24,15 +24,6 @@ def md5(x):
     return hashlib.md5(x.encode()).hexdigest()
 
 
-def test_recall_of_approximate_search(spark):
-    for sf in (SF, "/root/testdata/sf0.1"):
-        exact = {(r.query_id, r.id) for r in QUERIES["cosine_topk"](spark, sf).collect()}
-        asked = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").count()
-        found = {(r.query_id, r.id) for r in QUERIES["approximate_neighbours"](spark, sf).collect()}
-        assert len(exact) == 10 * asked and len(found) == len(exact)
-        assert len(exact & found) >= 0.9 * len(exact)
-
-
 def test_communities_of_plain_graphs(spark):
     cliques = [(a, b, 1.0) for base in (0, 10, 20) for a in range(base, base + 5) for b in range(a + 1, base + 5)]
     got = graph.communities(spark.createDataFrame([*cliques, (4, 10, 0.1)], "a long, b long, weight double")).collect()
