@@ -127,10 +127,16 @@ def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("communities")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label propagation over shared orders; tests hold it on graphs with plain communities."""
+    """Modularity communities over shared orders; tests hold it against plain versions and planted partitions."""
     return graph.communities(graph.co_occurrence(_items(spark, sf_dir), "item", "doc", 2))
 
 
+@query("propagated_labels")
+def propagated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label propagation over the same edges; tests hold it on graphs with plain communities."""
+    return graph.propagated(graph.co_occurrence(_items(spark, sf_dir), "item", "doc", 2))
+
+
 # --- entities ----------------------------------------------------------------------------------------
 
 

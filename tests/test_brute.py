@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import chunk, entities, graph, notes
+from scriptorium.operators import chunk, entities, notes
 from scriptorium.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -24,13 +24,6 @@ def md5(x):
     return hashlib.md5(x.encode()).hexdigest()
 
 
-def test_communities_of_plain_graphs(spark):
-    cliques = [(a, b, 1.0) for base in (0, 10, 20) for a in range(base, base + 5) for b in range(a + 1, base + 5)]
-    got = graph.communities(spark.createDataFrame([*cliques, (4, 10, 0.1)], "a long, b long, weight double")).collect()
-    assert all(r.settled for r in got)
-    assert {frozenset(r.node for r in got if r.community == c) for c in {r.community for r in got}} == {frozenset(range(b, b + 5)) for b in (0, 10, 20)}
-
-
 def sentences_of(text):
     guarded = re.sub(r"\b(M|Mme|Dr|Prof|etc|cf|vol|pp|ed|al|p)\.", "\\1\u0001", text)
     return [s for s in (x.replace("\u0001", ".").strip(" ") for x in re.split(r"(?<=[.!?;])\s+", guarded)) if len(s) > 10]
