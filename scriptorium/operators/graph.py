@@ -117,25 +117,26 @@ def _doubled(edges: DataFrame, weighted: bool) -> DataFrame:
     return both.groupBy("a", "b").agg((F.sum("weight") if weighted else F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0)).alias("weight"))
 
 
-#: Gains of modularity below this are none.
-LEAST_GAIN = 1e-10
+#: Gains below this share of the mean weight are none. Where fewer than one in so many nodes may move together, moves are chosen apart.
+LEAST_GAIN, LEAST_SHARE = 1e-6, 40
 
 
-def communities(edges: DataFrame, weighted: bool = True) -> DataFrame:
+def communities(edges: DataFrame, weighted: bool = True, tolerance: float = 1e-4) -> DataFrame:
     """(node, community, level) by modularity: nodes move to the neighbouring community of greatest gain, communities become nodes, and again.
 
     Edges are undirected, (a, b, weight). A community is named by its least node; level counts the contractions. In a round every node
     works out its best move from its links, its strength and the communities' totals. First half of the
-    nodes, by a hash, all move; if modularity fell by that, the round is undone and only moves between
-    communities that no better move touches are made, whose gains add up exactly. So modularity grows in
-    every round, and rounds end where no single move gains any more. States are written down; each job
+    nodes, by a hash, move at once; if modularity doesn't grow by that, the round is undone and an eighth moves, and
+    so on; below one in forty only moves between communities that no better move touches are made, whose gains add
+    up exactly. So modularity grows in every round that stays. A level ends where no single move gains any more, or where such a careful round gains less
+    than ``tolerance`` (0: never for that reason). States are written down; each job
     reads one level's edges, which shrink with every level. Nodes with edges only are known.
     """
     links = stored(_doubled(edges, weighted))
     members = stored(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
     whole, level = links.agg(F.sum("weight")).first()[0], 0
     while whole:
-        found = _moved(links, whole)
+        found = _moved(links, whole, tolerance)
         if found is None:
             break
         level += 1
@@ -146,25 +147,28 @@ def communities(edges: DataFrame, weighted: bool = True) -> DataFrame:
     return members.withColumn("level", F.lit(level))
 
 
-def _moved(links: DataFrame, whole: float) -> DataFrame | None:
+def _moved(links: DataFrame, whole: float, tolerance: float) -> DataFrame | None:
     """(node, community) after the rounds of one level; None if no move gains."""
+    least = LEAST_GAIN * whole / links.count()
     labels = stored(links.groupBy("a").agg(F.sum("weight").alias("strength")).select(F.col("a").alias("node"), F.col("a").alias("community"), "strength"))
-    start, turn, reached, careful = labels, 0, None, False
+    start, turn, reached, share = labels, 0, None, 2  # one in so many nodes moves
     while True:
         state = _proposals(links, labels, whole)
-        r = state.agg(F.sum("inner").alias("inner"), F.sum(F.when(F.col("gain") > LEAST_GAIN, 1).otherwise(0)).alias("moves")).first()
+        r = state.agg(F.sum("inner").alias("inner"), F.sum(F.when(F.col("gain") > least, 1).otherwise(0)).alias("moves")).first()
         squares = labels.groupBy("community").agg(F.sum("strength").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
         now = r["inner"] / whole - squares / whole**2
-        if reached is not None and now <= reached[0] + (LEAST_GAIN if not careful else -1):
-            labels, state, careful = reached[1], reached[2], True  # undone
-            now = reached[0]
-        elif r["moves"] == 0:
+        more = None if reached is None else now - reached[0]
+        if r["moves"] == 0 or share > LEAST_SHARE and more < tolerance:
             break
+        if more is not None and share <= LEAST_SHARE and more <= 0:
+            now, labels, state = reached  # undone
+        if more is not None and more <= tolerance:
+            share = min(share * 4, 2 * LEAST_SHARE)
         else:
-            careful = False
+            share = max(2, share // 2)
         reached = (now, labels, state)
-        wanted = state.filter(F.col("gain") > LEAST_GAIN)
-        if careful:
+        wanted = state.filter(F.col("gain") > least)
+        if share > LEAST_SHARE:
             # a move stays if it is the best of all that touch either community
             order = F.struct((-F.col("gain")).alias("g"), F.col("node").alias("n"))
             touched = wanted.select("node", F.explode(F.array("community", "wanted")).alias("c"), order.alias("order"))
@@ -172,14 +176,14 @@ def _moved(links: DataFrame, whole: float) -> DataFrame | None:
             alone = touched.join(first, "c").groupBy("node").agg(F.min((F.col("order") == F.col("first")).cast("int")).alias("best")).filter("best = 1")
             goes = wanted.join(alone.select("node"), "node", "left_semi")
         else:
-            goes = wanted.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+            goes = wanted.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(share)) == 0)
         labels = stored(labels.join(goes.select("node", "wanted"), "node", "left").select("node", F.coalesce("wanted", "community").alias("community"), "strength"))
         turn += 1
     return None if labels is start else labels.select("node", "community")
 
 
 def _proposals(links: DataFrame, labels: DataFrame, whole: float) -> DataFrame:
-    """(node, community, inner, wanted, gain): the weight of each node's links into its own community, and its best move, stored."""
+    """(node, community, inner, wanted, gain): the weight of each node's links into its own community, and its best move with the gain in units of weight, stored."""
     total = labels.groupBy("community").agg(F.sum("strength").alias("total"))
     outer = links.filter("a <> b").join(labels.select(F.col("node").alias("b"), F.col("community").alias("to")), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
     loops = links.filter("a = b").select(F.col("a").alias("node"), F.col("weight").alias("loop"))
@@ -192,7 +196,7 @@ def _proposals(links: DataFrame, labels: DataFrame, whole: float) -> DataFrame:
     best = joined.groupBy("node", "community", "strength", "own_total").agg(
         stay.alias("held"), F.min(F.when(F.col("to") != F.col("community"), F.struct((-F.round(value, 9)).alias("v"), F.col("to").alias("to")))).alias("best")
     )
-    gain = 2 * (-F.col("best.v") - (F.col("held") - F.col("strength") * (F.col("own_total") - F.col("strength")) / whole)) / whole
+    gain = -F.col("best.v") - (F.col("held") - F.col("strength") * (F.col("own_total") - F.col("strength")) / whole)
     return stored(
         best.join(loops, "node", "left").select("node", "community", (F.col("held") + F.coalesce("loop", F.lit(0.0))).alias("inner"), F.col("best.to").alias("wanted"), F.coalesce(gain, F.lit(0.0)).alias("gain"))
     )

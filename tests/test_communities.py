@@ -81,7 +81,7 @@ def test_a_ring_of_cliques_and_random_graphs(spark):
         assert plain_modularity(edges, of) >= plain_modularity(edges, labels) - 1e-9
         assert plain_modularity(edges, of) > plain_modularity(edges, {n: n for n in of})
     assert sorted(map(tuple, rows)) == sorted(map(tuple, graph.communities(frame(spark, list(reversed(graphs[1])))).collect()))
-    first = graph._moved(graph._doubled(frame(spark, graphs[1]), True), 2.0 * sum(w for *_, w in graphs[1]))
+    first = graph._moved(graph._doubled(frame(spark, graphs[1]), True), 2.0 * sum(w for *_, w in graphs[1]), 0.0)
     assert best_single_move(graphs[1], {r.node: r.community for r in first.collect()}) < 1e-8
 
 
