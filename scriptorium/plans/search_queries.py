@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
 from scriptorium.functions import vectors as fv
-from scriptorium.operators import neighbour_graph, search
+from scriptorium.operators import fulltext, neighbour_graph, search
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import stored, table
 
@@ -281,3 +281,15 @@ def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     index = neighbour_graph.build(vectors, 64)
     return neighbour_graph.search(index, _vector_queries(spark, sf_dir), 10, 64)
+
+
+@query("stemmed_search")
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents with every stem of a benchmark item, from the index in blocks."""
+    return fulltext.search(fulltext.index(table(spark, sf_dir, "documents")), _items(spark, sf_dir), 10)
+
+
+@query("stemmed_any")
+def stemmed_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents with any stem of a benchmark item, and the share of postings read for them."""
+    return fulltext.search(fulltext.index(table(spark, sf_dir, "documents")), _items(spark, sf_dir), 10, every=False)
