@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -48,9 +51,59 @@ def windowed_counts(events: DataFrame, by: str, at: str, width: str = "1 hour",
     return grouped.select(by, F.col("w.start").alias("began"), "events")
 
 
-def debounced(changes: DataFrame, key: str, at: str, quiet: str = "2 seconds") -> DataFrame:
-    """The first change of a key within so long; repeats inside that time are dropped."""
-    return timed(changes, at, quiet).dropDuplicatesWithinWatermark([key])
+def with_timers(spark: SparkSession) -> None:
+    """State with timers lives in this store; the session keeps the setting, running queries keep theirs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Debounce(StatefulProcessor):
+    """Holds the last row of a key until the key has been quiet; rows end with the time at which they are due."""
+
+    def __init__(self, order: list[int], schema: T.StructType) -> None:
+        self.order, self.schema = order, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = self.held.get() if self.held.exists() else None
+        for frame in rows:
+            for row in frame.itertuples(index=False, name=None):  # columns by place, as names may have been changed
+                row = tuple(None if pd.isna(x) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row)
+                if last is None or self._place(row) >= self._place(last):
+                    last = row
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.held.update(last)
+        self.handle.registerTimer(last[-1])
+        return iter(())
+
+    def _place(self, row: tuple) -> tuple:
+        return (row[-1], *((row[i] is not None, row[i] if row[i] is not None else 0) for i in self.order))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        row = self.held.get()
+        self.held.clear()
+        yield pd.DataFrame([row[:-1]], columns=self.schema.names[:-1])
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(changes: DataFrame, key: str, at: str, quiet_ms: int = 2000, late: str = "0 seconds") -> DataFrame:
+    """The last change of each burst of a key: it comes out once the key has had no other for so long, by the time of events.
+
+    A change is held, and its timer set anew by each later one; of changes at one time that which is greater in the
+    other columns, in their order, is the last. Changes without a time or key are left out. Needs with_timers. A key's
+    last change comes out when the watermark, which events of any key move on, passes its timer.
+    """
+    kept = timed(changes, at, late).filter(F.col(at).isNotNull() & F.col(key).isNotNull())
+    due = kept.withColumn("_due", F.unix_millis(at) + quiet_ms)
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in kept.schema])
+    order = [i for i, f in enumerate(out) if f.name not in (key, at) and isinstance(f.dataType, (T.StringType, T.NumericType))]
+    state = T.StructType([*out, T.StructField("_due", T.LongType())])
+    return due.groupBy(key).transformWithStateInPandas(_Debounce(order, state), out, "append", "eventTime")
 
 
 def changed_contents(docs: DataFrame, key: str, content: str, forget_after_ms: int | None = None) -> DataFrame:

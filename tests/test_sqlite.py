@@ -53,7 +53,7 @@ def test_filters_and_columns_reach_the_file(pushing, numbers):
     assert sorted(r.id for r in found.collect()) == [k for k in range(10, 500) if k % 7 in (1, 2)]
     # collation of the file doesn't widen or narrow what Spark would find
     assert df.filter("name = 'n1'").count() == 143 and df.filter("name = 'N1'").count() == 1 and df.filter("name < 'a'").count() == 1
-    reader = source.SqliteSource({"path": numbers, "table": 'odd "name'}).reader(df.schema)
+    reader = source.SqliteSource({"path": numbers, "table": 'odd "name', "push": "true"}).reader(df.schema)
     list(reader.pushFilters([source.GreaterThan(("id",), 990), source.EqualTo(("name",), "n3")]))
     batches = list(reader.read(source._Range(1, 2000)))
     assert sum(b.num_rows for b in batches) == sum(1 for k in range(991, 1001) if k % 7 == 3)

@@ -1,6 +1,11 @@
+from datetime import datetime
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scriptorium.streaming import bursts
 from scriptorium.streaming import events as stream
 
 
@@ -36,11 +41,26 @@ def test_changed_contents_over_batches(spark, tmp_path):
     assert seen == [("a", "new"), ("b", "new"), ("a", "changed"), ("b", "unchanged"), ("c", "new"), ("c", "unchanged")]
 
 
-def test_debounced_keeps_the_first(spark, tmp_path):
-    put(spark, tmp_path, 0, [("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:00:00"), ("b", "2024-01-01 10:00:01")], "path string, ts string")
-    source = stream.read_table_stream(spark, f"{tmp_path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream.run_available(stream.debounced(source, "path", "ts"), str(tmp_path / "out"))
-    assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()) == ["a", "b"]
+def test_debounced_gives_the_last_of_each_burst(spark, tmp_path):
+    """A burst goes on over batches; each batch is one file."""
+    stream.with_timers(spark)
+    schema = "path string, ts string, n long"
+    batches = [
+        [("a", "10:00:00", 1), ("a", "10:00:01", 2), ("b", "10:00:00", 1)],
+        [("a", "10:00:02", 3), ("a", "10:00:02", 5), ("a", "10:00:02", 4)],
+        [("c", "10:00:10", 1)],
+        [("a", "10:00:11", 6), ("d", None, 1)],
+        [("e", "10:01:00", 1)],
+    ]
+    seen = []
+    for rows in batches:
+        put(spark, tmp_path, 0, [(k, t and f"2024-01-01 {t}", n) for k, t, n in rows], schema)
+        source = stream.read_table_stream(spark, f"{tmp_path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+        stream.run_available(stream.debounced(source, "path", "ts"), str(tmp_path / "out"))
+        got = sorted((r.path, str(r.ts)[11:], r.n) for r in spark.read.parquet(str(tmp_path / "out/rows")).collect())
+        seen.append(got)
+    assert ("a", "10:00:02", 5) not in seen[1]
+    assert seen[-1] == [("a", "10:00:02", 5), ("a", "10:00:11", 6), ("b", "10:00:00", 1), ("c", "10:00:10", 1)]
 
 
 def test_batch_totals_are_written_once(spark, tmp_path):
@@ -65,3 +85,68 @@ def test_windowed_counts(spark, tmp_path, width):
     source = stream.read_table_stream(spark, f"{tmp_path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
     stream.run_available(stream.windowed_counts(source, "kind", "ts", width), str(tmp_path / "out"))
     assert [(r.kind, r.events) for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()] == [("a", 2)]
+
+
+def test_a_burst_is_written_whole_and_once(spark, tmp_path):
+    schema = "session_id string, n long, at timestamp"
+    path, flag = f"file://{tmp_path}/log", tmp_path / "broken"
+    place = str(flag)
+
+    @F.udf("long")
+    def checked(n):
+        import os
+
+        if n == 13 and os.path.exists(place):
+            raise ValueError("a task fails")
+        return n
+
+    def run():
+        source = stream.read_table_stream(spark, f"{tmp_path}/in").withColumn("n", checked("n"))
+        bursts.append_bursts(source, path, "session_id")
+
+    def read():
+        known = spark.read.parquet(f"{tmp_path}/in").schema
+        rows = sorted((r.session_id, r.n) for r in bursts.read_bursts(spark, path, known).collect())
+        counts = {r.session_id: (r.n, r.bursts) for r in bursts.session_counts(spark, path, known["session_id"]).collect()}
+        return rows, counts
+
+    at = datetime(2024, 1, 1)
+    put(spark, tmp_path, 0, [("a", 1, at), ("a", 2, None), ("b", 3, at)], schema)
+    assert bursts.read_bursts(spark, path, spark.read.parquet(f"{tmp_path}/in").schema).count() == 0
+    run()
+    first = ([("a", 1), ("a", 2), ("b", 3)], {"a": (2, 1), "b": (1, 1)})
+    assert read() == first
+    # one task of the second burst fails: others of it have written, nothing of it is read
+    flag.touch()
+    for k in range(4):
+        put(spark, tmp_path, 0, [("c", 10 + k, at)] * 3, schema)
+    with pytest.raises(Exception, match="a task fails"):
+        run()
+    assert read() == first
+    flag.unlink()
+    run()
+    assert {r.at for r in bursts.read_bursts(spark, path, spark.read.parquet(f"{tmp_path}/in").schema).collect()} == {at, None}
+    second = (sorted(first[0] + [("c", 10 + k) for k in range(4) for _ in range(3)]), first[1] | {"c": (12, 1)})
+    assert read() == second
+    run()
+    assert read() == second
+
+
+def test_commits_are_repeatable_and_aborts_leave_nothing(spark, tmp_path):
+    schema = T.StructType.fromDDL("session_id string, n long")
+    path = f"file://{tmp_path}/log"
+    writer = bursts.BurstWriter(path, "session_id", schema)
+    rows = [Row(session_id="a", n=1), Row(session_id=None, n=2)]
+    read = lambda: sorted(((r.session_id, r.n, r.burst) for r in bursts.read_bursts(spark, path, schema).collect()), key=repr)
+    writer.abort([writer.write(iter(rows)), None], 0)
+    assert read() == [] and not list((tmp_path / "log/pending").iterdir())
+    writer.commit([writer.write(iter(rows)), writer.write(iter([]))], 0)
+    want = sorted([("a", 1, 0), (None, 2, 0)], key=repr)
+    assert read() == want
+    writer.commit([writer.write(iter(rows))], 0)  # the same micro-batch again
+    assert read() == want and not list((tmp_path / "log/pending").iterdir())
+    # a commit that broke off before its mark
+    (tmp_path / "log/commits/0.json").unlink()
+    assert read() == []
+    writer.commit([writer.write(iter(rows))], 0)
+    assert read() == want
