@@ -116,6 +116,41 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.translate(s, "\u0001", "."))), lambda s: F.length(s) > 10)
 
 
+#: White space as scripts for browsers have it; \\s alone is ASCII here.
+SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Abbreviations that don't end a sentence; after a first letter beyond ASCII a word border is one that a word character precedes.
+HISTORIAN = "M|MM|Mme|Mlle|Dr|Pr|St|Ste|etc|cf|p|pp|vol|no|art|chap|fig|ibid|op|loc|trad|ms|mss|fol|t"
+HISTORIAN_ACCENTED = "éd"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def historian_sentences(text: Column) -> Column:
+    """Parts before capitals of any script; abbreviations of address and of citation keep what follows, after one space."""
+    held = F.regexp_replace(text, rf"(?:(?<![A-Za-z0-9_])({HISTORIAN})|(?<=[A-Za-z0-9_])({HISTORIAN_ACCENTED}))\.[{SPACE}]+", "$1$2.\u0000")
+    parts = F.split(held, rf"(?<=[.!?])[{SPACE}]+(?=\p{{Lu}})")
+    return F.filter(F.transform(parts, lambda x: trimmed(F.translate(x, "\u0000", " "))), lambda x: x != "")
+
+
+def summary_sentences(text: Column) -> Column:
+    """Parts of over twenty characters before capitals, plain or accented."""
+    parts = F.split(F.replace(text, F.lit("|SPLIT|"), F.lit("\ue000")), rf"(?<=[.!?])[{SPACE}]+(?=[A-Z\u00c0-\u00dc])|\ue000")
+    return F.filter(F.transform(parts, trimmed), lambda x: utf16_length(x) > 20)
+
+
+def astral(text: Column) -> Column:
+    """How many characters beyond the basic plane a text has; each counts two in UTF-16."""
+    return F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 code units."""
+    return F.length(text) + astral(text)
+
+
 def clean_chunk(text: Column) -> Column:
     """At most two line ends and one space in a row; then control characters (line ends too) out; trimmed."""
     text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r" {2,}", " ")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import text as ft
 
@@ -48,3 +55,79 @@ def statistics(events: DataFrame, at: str = "at") -> DataFrame:
     rows = kinds.select(F.concat(F.lit("kind:"), "kind").alias("measure"), F.col("count").cast("string").alias("value"))
     rows = rows.unionByName(severities.select(F.concat(F.lit("severity:"), "severity").alias("measure"), F.col("count").cast("string").alias("value")))
     return rows.unionByName(times.select(F.lit("first").alias("measure"), F.col("first").alias("value"))).unionByName(times.select(F.lit("last").alias("measure"), F.col("last").alias("value")))
+
+
+# --- redaction -------------------------------------------------------------------------------------
+
+# Fields whose values are replaced by digest and length, the object whose values are masked, and the mask.
+SENSITIVE = frozenset("query snippet content text value context entity".split())
+SECRETS, MASK = "env", "[redacted]"
+
+
+def _shown(x) -> str:
+    """A JSON value as scripts turn it into text."""
+    if isinstance(x, str):
+        return x
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, dict):
+        return "[object Object]"
+    if isinstance(x, list):
+        return ",".join("" if y is None else _shown(y) for y in x)
+    if isinstance(x, float):
+        if x.is_integer() and abs(x) < 1e21:
+            return str(int(x))
+        digits = repr(x)
+        return re.sub(r"e([+-])0*", r"e\1", digits) if "e" not in digits or abs(x) < 1e-6 or abs(x) >= 1e21 else f"{x:.20f}".rstrip("0")
+    return "null" if x is None else str(x)
+
+
+def _marked(x):
+    if x is None:
+        return None
+    shown = _shown(x)
+    data = shown.encode("utf-8", "replace")
+    return {"sha256": hashlib.sha256(data).hexdigest(), "length": len(shown.encode("utf-16-le", "surrogatepass")) // 2}
+
+
+def redacted_value(payload):
+    """A JSON value with its sensitive parts replaced, at any depth; walked without recursion."""
+    top: list = [payload]
+    open_parts: list = [top]
+    while open_parts:
+        part = open_parts.pop()
+        for k, v in list(part.items() if isinstance(part, dict) else enumerate(part)):
+            if isinstance(part, dict) and k == SECRETS and isinstance(v, dict):
+                part[k] = dict.fromkeys(v, MASK)
+            elif isinstance(part, dict) and k in SENSITIVE:
+                part[k] = _marked(v)
+            elif isinstance(v, (dict, list)):
+                open_parts.append(v)
+    return top[0]
+
+
+def _redacted_text(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        payload = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return json.dumps(redacted_value(payload), ensure_ascii=False, separators=(",", ":"))
+
+
+def redacted_json(df: DataFrame, payload: str) -> DataFrame:
+    """A column of JSON texts, or of VARIANT, as JSON texts in which fields of sensitive names hold digest and length, and values of env are masked.
+
+    Objects and arrays are walked to any depth that the parser takes (about a thousand); texts that aren't JSON become null.
+    Numbers keep their spelling but for needless digits, fields their order.
+    """
+    text = F.to_json(F.col(payload)) if isinstance(df.schema[payload].dataType, T.VariantType) else F.col(payload).cast("string")
+    at, schema = df.columns.index(payload), T.StructType([f if f.name != payload else T.StructField(payload, T.StringType()) for f in df.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([_redacted_text(x) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([found if i == at else c for i, c in enumerate(b.columns)], names=schema.names)
+
+    return df.withColumn(payload, text).mapInArrow(run, schema)

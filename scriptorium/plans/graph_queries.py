@@ -241,3 +241,22 @@ def blocked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def security_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.statistics(security.scan(_inspected(spark, sf_dir)), "id")
+
+
+@query(
+    "redacted_payloads",
+    r"""with c as (select conv_id, turn, role, coalesce(text, '') as t, length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\x{10000}-\x{10FFFF}]', '', 'g')) as units from conversations)
+    select conv_id, turn, md5('{"tool":"' || role || '","args":{"query":{"sha256":"' || sha256(t) || '","length":' || units || '},"env":{"KEY":"[redacted]"},"hits":[{"id":' || turn ||
+        ',"entity":{"sha256":"' || sha256('[object Object]') || '","length":15},"at":[1,{"value":{"sha256":"' || sha256('true') || '","length":4},"kept":null}]}]}}') as payload_md5 from c""",
+)
+def redacted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls with the turns' texts as queries, secrets, nested objects and arrays."""
+    turns = table(spark, sf_dir, "conversations")
+    inner = F.named_struct(F.lit("value"), F.lit(True), F.lit("kept"), F.lit(None).cast("string"))
+    text = F.to_json(F.struct(ft.present("text").alias("query")))
+    payload = F.concat(
+        F.lit('{"tool": "'), "role", F.lit('", "args": {'), F.substring(text, F.lit(2), F.length(text) - 2), F.lit(', "env": {"KEY": "secret"}, "hits": [{"id": '),
+        F.col("turn").cast("string"), F.lit(', "entity": {"a": 1}, "at": [1, '), F.to_json(inner, {"ignoreNullFields": "false"}), F.lit("]}]}}"),
+    )
+    found = security.redacted_json(turns.select("conv_id", "turn", payload.alias("payload")), "payload")
+    return found.select("conv_id", "turn", F.md5("payload").alias("payload_md5"))

@@ -150,21 +150,25 @@ def near_known_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reply_entities",
-    """with r as (select event_id, user_id, event_type from events),
-    e as (select event_id, 'User ' || user_id as name, 'PERSON' as kind, 'did ' || event_type as context from r where event_id % 3 <> 2
-        union all select event_id, 'Day', 'DATE', '' from r where event_id % 3 = 0
-        union all select event_id, 'User ' || user_id, 'EVENT', '' from r where event_id % 3 = 2)
+    """with r as (select event_id, user_id, event_type, event_id % 5 as k from events),
+    e as (select event_id, 'User ' || user_id as name, 'PERSON' as kind, 'did ' || event_type as context from r where k in (0, 1, 3)
+        union all select event_id, 'Day', 'DATE', '' from r where k = 0
+        union all select event_id, 'User ' || user_id, 'EVENT', '' from r where k = 2
+        union all select event_id, 'User ' || user_id, 'PERSON', '' from r where k = 4
+        union all select event_id, 'Place', 'LOCATION', '' from r where k = 4)
     select * from e""",
 )
 def reply_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies with words around a JSON list, with items of odd types, and with a list that isn't closed."""
+    """Replies with words around a JSON list, with items of odd types, with a list that isn't closed, with a name that is a number, and with a context that isn't a text."""
     event = table(spark, sf_dir, "events")
-    user, kind = F.concat(F.lit("User "), F.col("user_id").cast("string")), F.col("event_type")
+    user, kind, case = F.concat(F.lit("User "), F.col("user_id").cast("string")), F.col("event_type"), F.col("event_id") % 5
     person = F.concat(F.lit('{"name": " '), user, F.lit('", "type": "person", "context": "did '), kind, F.lit('"}'))
     text = (
-        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Here: ["), person, F.lit(',\n{"name": "Day", "type": "DATE"}, {"name": "", "type": "DATE"}] done')))
-        .when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), person, F.lit(', {"name": "x", "type": "thing"}]')))
-        .otherwise(F.concat(F.lit('[{"name": "'), user, F.lit('", "type": "thing", "context": "cut')))
+        F.when(case == 0, F.concat(F.lit("Here: ["), person, F.lit(',\n{"name": "Day", "type": "DATE", "context": null}, {"name": "", "type": "DATE"}] done')))
+        .when(case == 1, F.concat(F.lit("["), person, F.lit(', {"name": "x", "type": "thing"}, null, 7]')))
+        .when(case == 2, F.concat(F.lit('[{"name": "'), user, F.lit('", "type": "thing", "context": "cut')))
+        .when(case == 3, F.concat(F.lit("["), person, F.lit(', {"name": 5, "type": "PERSON"}, {"name": "y", "type": ["DATE"]}]')))
+        .otherwise(F.concat(F.lit('[{"name": "'), user, F.lit('", "type": "Person", "context": {"a": 1}}, {"name": "Place", "type": "location"}]')))
     )
     return sources.reply_entities(event.select("event_id", text.alias("text")), "event_id")
 
@@ -173,9 +177,9 @@ def reply_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     "entity_contexts",
     """with e as (select s_suppkey as entity_id, s_name as name, lower(s_name) as normalized from supplier),
     m as (select l_orderkey * 10 + l_linenumber as mention_id, l_suppkey as entity_id, l_orderkey as source_id, l_returnflag || ' context' as context from lineitem),
-    p as (select 0 as place, m.*, name, o_orderpriority as title, 'primary' as corpus from m join e using (entity_id) left join orders on o_orderkey = source_id and o_orderkey % 2 = 0 where contains(normalized, '00001') and l_flag(context) group by all)
-    select * from p""".replace(" and l_flag(context) group by all", ""). replace("select * from p", """, s as (select 1 as place, p_partkey as mention_id, p_partkey % 10 + 1 as entity_id, p_partkey as source_id, p_type as context, name, p_name as title, 'secondary' as corpus from part join e on e.entity_id = p_partkey % 10 + 1 where contains(normalized, '00001'))
-    select mention_id, entity_id, name, 'ORGANIZATION' as kind, source_id, title, corpus, context from (select * from p union all by name select * from s) order by place, mention_id limit 200"""),
+    p as (select 0 as place, m.*, name, o_orderpriority as title, 'primary' as corpus from m join e using (entity_id) left join orders on o_orderkey = source_id and o_orderkey % 2 = 0 where contains(normalized, '00001')),
+    s as (select 1 as place, p_partkey as mention_id, p_partkey % 10 + 1 as entity_id, p_partkey as source_id, p_type as context, name, p_name as title, 'secondary' as corpus from part join e on e.entity_id = p_partkey % 10 + 1 where contains(normalized, '00001'))
+    select mention_id, entity_id, name, 'ORGANIZATION' as kind, source_id, title, corpus, context from (select * from p union all by name select * from s) order by place, mention_id limit 200""",
 )
 def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as entities of orders and of parts; some orders have no title."""
