@@ -110,6 +110,45 @@ def section_segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return shown.filter("content <> ''")
 
 
+# Abbreviations whose point doesn't end a sentence, in the order in which they are looked for, in any case and
+# also at the end of longer words. Of those with two points only the first is one, the second stands for any character.
+ABBREVIATIONS = "M. Mme. Mlle. Dr. Pr. Prof. Mr. Mrs. Ms. Jr. Sr. vs. etc. cf. i.e. e.g. p. pp. vol. no. ed. eds. chap. fig. tab. op. cit. ibid.".split()
+#: Each abbreviation is masked by a character that no text has; its length elsewhere is that of a mark with its number.
+MASKS = [chr(0xFDD0 + i) for i in range(len(ABBREVIATIONS))]
+
+
+def sentence_segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, place, first_line, last_line, content): sentences with about the lines they stand on, counted from 0.
+
+    Texts are cut after sentence ends, abbreviations masked; all masked forms of an abbreviation come back as its last one. A
+    sentence's first line is where the lengths of those before it, without their ends, reach among the line ends: both are
+    prefix sums, merged in one sorted pass over each text. Lengths are UTF-16 units. Rows are texts of their own; null texts have no sentences.
+    """
+    masked, back = ft.present(text), F.col("s.raw")
+    for i, a in enumerate(ABBREVIATIONS):
+        masked = F.regexp_replace(masked, "(?i)" + a.replace(".", r"\.", 1), MASKS[i])
+    lasts = [F.try_element_at(F.regexp_extract_all(ft.present(text), F.lit("(?i)(" + a.replace(".", r"\.", 1) + ")"), 1), F.lit(-1)) for a in ABBREVIATIONS]
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), key, masked.alias("masked"), F.split(ft.present(text), "\n").alias("lines"), F.array(*[F.coalesce(x, F.lit("")) for x in lasts]).alias("lasts"))
+    for i in range(len(ABBREVIATIONS)):
+        back = F.replace(back, F.lit(MASKS[i]), F.get("lasts", F.lit(i)))
+    # both kinds of places in one explode: pieces between sentence ends, and lines but for the last
+    event = lambda kind, i, raw: F.struct(F.lit(kind).alias("kind"), i.alias("place"), raw.alias("raw"))
+    pieces = F.transform(F.split("masked", rf"[.!?]+[{ft.SPACE}]+"), lambda x, i: event(0, i, x))
+    ends = F.transform(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x, i: event(1, i, x))
+    events = base.select("_row", key, "lasts", F.size("lines").alias("n_lines"), F.explode(F.concat(pieces, ends)).alias("s"))
+    marks = lambda some: F.length("s.raw") - F.length(F.translate("s.raw", "".join(some), ""))
+    # a mark of one digit is ten long, of two digits eleven
+    units = ft.utf16_length(F.col("s.raw")) + F.when(F.col("s.kind") == 1, 1).otherwise(9 * marks(MASKS[:10]) + 10 * marks(MASKS[10:]))
+    content = F.when(F.col("s.kind") == 0, ft.trimmed(back))
+    sized = events.select("_row", key, "n_lines", "s.kind", "s.place", units.cast("long").alias("units"), content.alias("content")).filter("kind = 1 or content <> ''")
+    before = F.sum("units").over(Window.partitionBy("_row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.col("kind") == 0, F.col("units")).otherwise(0)
+    merged = sized.withColumn("at", before)
+    passed = F.sum("kind").over(Window.partitionBy("_row").orderBy("at", "kind", "place").rowsBetween(Window.unboundedPreceding, 0))
+    found = merged.withColumn("first_line", passed.cast("long")).filter("kind = 0")
+    last = F.least(F.col("first_line") + F.size(F.split("content", "\n")) - 1, F.col("n_lines") - 1)
+    return found.select(key, F.col("place").cast("long").alias("place"), "first_line", last.cast("long").alias("last_line"), "content")
+
+
 def with_positions(chunks: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds first and last: where a chunk's first word stands, looked for from the end of the chunk before, and that plus its length.
 

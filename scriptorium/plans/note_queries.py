@@ -136,3 +136,18 @@ def deck_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("---\ntitle: x\n---\n# Slide "), F.col("doc_id").cast("string"), F.lit("\n---\n```\n---\n```\n"), show("source"), F.lit("\n---\n"), show("lang"))
     found = notes.slides(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id")
     return found.select("doc_id", "slide", "title", F.md5("content").alias("content_md5"))
+
+
+@query("sentence_segments")
+def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents with their lines, in the order of first lines."""
+    found = notes.sentence_segments(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "place", "first_line", "last_line", F.md5("content").alias("content_md5")).orderBy("doc_id", "first_line", "place")
+
+
+@query("split_sentences")
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sentences each document has for compression and for summaries, and a digest of them."""
+    split = table(spark, sf_dir, "documents").select("doc_id", ft.historian_sentences(ft.present("text")).alias("h"), ft.summary_sentences(ft.present("text")).alias("s"))
+    digest = lambda c: F.md5(F.array_join(c, "\n\n"))
+    return split.select("doc_id", F.size("h").alias("n_historian"), digest("h").alias("historian_md5"), F.size("s").alias("n_summary"), digest("s").alias("summary_md5"))

@@ -64,7 +64,6 @@ def test_equals_scoring_everything(spark, name, every):
 
 
 def test_buckets_are_skipped_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(fulltext, "BUCKET_ROWS", 4)
     monkeypatch.setattr(fulltext, "FIRST_BUCKETS", 2)
     docs = [(k, "running runs " * ((1 + k % 7) * (k % 3 == 0)) + "filler words " * (k % 23) + ("RÉSUMÉ " if k % 5 == 0 else "")) for k in range(300)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, stem string")
@@ -72,7 +71,7 @@ def test_buckets_are_skipped_without_loss(spark, monkeypatch):
     queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
     for every in (True, False):
         got = {}
-        for r in fulltext.search(fulltext.index(df), queries, 5, every).collect():
+        for r in fulltext.search(fulltext.index(df, bucket_rows=4), queries, 5, every).collect():
             got.setdefault(r.query_id, []).append(r)
         for q, text in asked.items():
             want = scores(docs, text, every)[:5]
