@@ -146,6 +146,11 @@ def astral(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
+def padded(text: Column) -> Column:
+    """With a character that no text has after each one beyond the basic plane, so that places are those of UTF-16 units."""
+    return F.regexp_replace(text, r"([\x{10000}-\x{10FFFF}])", "$1\ufdef")
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units."""
     return F.length(text) + astral(text)

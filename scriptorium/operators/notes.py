@@ -152,10 +152,11 @@ def sentence_segments(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def with_positions(chunks: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds first and last: where a chunk's first word stands, looked for from the end of the chunk before, and that plus its length.
 
-    The search is a fold over the document's chunks in order; a word that isn't found counts from where the search began.
+    Places and lengths are UTF-16 units: characters beyond the basic plane take two. The search is a fold over the
+    document's chunks in order; a word that isn't found counts from where the search began.
     """
-    listed = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("x"))
-    joined = listed.join(docs.select(key, ft.present(text).alias("t")), key)
+    listed = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", ft.padded(F.col("content")).alias("content")))).alias("x"))
+    joined = listed.join(docs.select(key, ft.padded(ft.present(text)).alias("t")), key)
     found = _let("p", "locate(split(y.content, ' ')[0], t, a.at + 1) - 1", _let("f", "if(p < 0, a.at, p)", "named_struct('at', f + length(y.content), 'out', concat(a.out, array(named_struct('chunk_index', y.chunk_index, 'first', f, 'last', f + length(y.content)))))"))
     placed = joined.select(key, F.expr(f"aggregate(x, named_struct('at', 0, 'out', cast(array() as array<struct<chunk_index:bigint,first:int,last:int>>)), (a, y) -> {found}, a -> a.out)").alias("o"))
     places = placed.select(key, F.explode_outer("o").alias("o")).select(key, "o.chunk_index", F.col("o.first").cast("long").alias("first"), F.col("o.last").cast("long").alias("last"))
@@ -164,7 +165,7 @@ def with_positions(chunks: DataFrame, docs: DataFrame, key: str = "doc_id", text
 
 def with_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id", page: str = "page_number", text: str = "text", gap: int = 2) -> DataFrame:
     """Adds the page that holds a chunk's first character; pages follow each other with ``gap`` characters between; beyond them it is the last page."""
-    size = F.length(ft.present(text)) + gap
+    size = ft.utf16_length(ft.present(text)) + gap
     w = Window.partitionBy(key).orderBy(page)
     ends = pages.select(key, page, F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
     listed = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("end", F.col(page).alias("page")))).alias("ends"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
+from scriptorium.sources.tables import stored
 
 Words = Callable[[Column], Column]
 
@@ -39,16 +41,65 @@ def corpus_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return totals.crossJoin(vocabulary)  # one row each
 
 
-def top_ngrams(docs: DataFrame, n: int, k: int, words: Words = ft.textometric_words) -> DataFrame:
-    """The k most frequent runs of n words within documents."""
+def _ngrams(docs: DataFrame, n: int, words: Words) -> DataFrame:
+    """Each run of n words within a document."""
     w = docs.select(words(ft.present("text")).alias("w"))
     later = [F.expr(f"slice(w, {i + 1}, greatest(size(w) - {n - 1}, 0))") for i in range(n)]
     grams = later[0]
     for part in later[1:]:
         grams = F.zip_with(grams, part, lambda a, b: F.concat(a, F.lit(" "), b))
     # an outer explode: for a plain one a filter on the array would be put below, and the words split twice
-    counted = w.select(F.explode_outer(grams).alias("ngram")).filter("ngram is not null").groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
-    return counted.orderBy(F.desc("count"), "ngram").limit(k)
+    return w.select(F.explode_outer(grams).alias("ngram")).filter("ngram is not null")
+
+
+def top_ngrams(docs: DataFrame, n: int, k: int, words: Words = ft.textometric_words) -> DataFrame:
+    """The k most frequent runs of n words within documents."""
+    return _ngrams(docs, n, words).groupBy("ngram").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "ngram").limit(k)
+
+
+def _border_grams(n: int, contexts):
+    """The runs of n words that end in a document and begin before it; ranges of documents come one after the other, each in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, context = None, []
+        for b in batches:
+            found = []
+            for part, first, last in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if part != now:
+                    now, context = part, contexts.value[part]
+                both = context + first
+                found += [" ".join(both[i : i + n]) for i in range(len(context)) if len(context) < i + n <= len(both)]
+                context = (context + last)[-(n - 1) :]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["ngram"])
+
+    return run
+
+
+def corpus_ngrams(docs: DataFrame, n: int, k: int, key: str = "doc_id", words: Words = ft.textometric_words) -> DataFrame:
+    """The k most frequent runs of n words of the corpus read as one text, documents by key: runs go on over the ends of documents.
+
+    Runs within documents are counted as everywhere. For the others documents are put into ranges of keys, of
+    which only the first and last n - 1 words of each document are written down; each range tells its last
+    n - 1 words, a few words a range meet on the driver, and the ranges are then read in order, each with the words before it.
+    Short documents pass on the words before them, documents without words all of them. Equal keys go by text.
+    """
+    if n < 2:
+        return top_ngrams(docs, n, k, words)
+    split = docs.select(F.col(key).alias("key"), F.xxhash64(ft.present("text")).alias("hash"), words(ft.present("text")).alias("w")).filter(F.size("w") > 0)
+    edges = split.select("key", "hash", F.slice("w", 1, n - 1).alias("first"), F.when(F.size("w") > n - 1, F.slice("w", -(n - 1), n - 1)).otherwise(F.col("w")).alias("last"))
+    ranged = stored(edges.repartitionByRange("key", "hash").sortWithinPartitions("key", "hash").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "first", "last"))
+    # every document kept has a word, so n - 1 of them are enough for a range's last words
+    backwards = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("at")))
+    ends = ranged.withColumn("back", backwards).filter(F.col("back") < n).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "last"))).alias("x"))
+    context, before = [], {}
+    for part, some in sorted((r["part"], [w for x in r["x"] for w in x["last"]]) for r in ends.collect()):  # a row a range
+        before[part] = context
+        context = (context + some)[-(n - 1) :]
+    contexts = docs.sparkSession.sparkContext.broadcast(before)
+    in_order = ranged.repartition("part").sortWithinPartitions("part", "at").select("part", "first", "last")
+    over = in_order.mapInArrow(_border_grams(n, contexts), "ngram string")
+    inside = _ngrams(docs, n, words)
+    return inside.unionByName(over).groupBy("ngram").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "ngram").limit(k)
 
 
 def tfidf(docs: DataFrame, k: int = 10, key: str = "doc_id", words: Words = ft.textometric_words, salts: int = 16) -> DataFrame:

@@ -74,6 +74,25 @@ def top_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textometrics.top_ngrams(table(spark, sf_dir, "documents"), 3, 50)
 
 
+def _corpus_ngram_sql(n: int) -> str:
+    later = "".join(f", lead(word, {i}) over (order by doc_id, i) as w{i}" for i in range(1, n))
+    joined = "".join(f" || ' ' || w{i}" for i in range(1, n))
+    return f"""with t as (select doc_id, {WORDS} as w from documents), u as (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as i from t where len(w) > 0),
+    s as (select word{later} from u)
+    select word{joined} as ngram, count(*) as count from s where w{n - 1} is not null group by ngram order by count desc, ngram limit 50"""
+
+
+@query("corpus_bigrams", _corpus_ngram_sql(2))
+def corpus_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus read as one text: pairs go on over the ends of documents."""
+    return textometrics.corpus_ngrams(table(spark, sf_dir, "documents"), 2, 50)
+
+
+@query("corpus_trigrams", _corpus_ngram_sql(3))
+def corpus_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textometrics.corpus_ngrams(table(spark, sf_dir, "documents"), 3, 50)
+
+
 @query(
     "tfidf_characteristic_words",
     f"""with t as (select doc_id, {WORDS} as w from documents), c as (select doc_id, word, count(*) as c, any_value(n) as total from (select doc_id, len(w) as n, unnest(w) as word from t) group by doc_id, word),
