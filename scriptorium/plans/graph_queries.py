@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
-from scriptorium.operators import entities, graph, search, security
+from scriptorium.operators import entities, graph, relations, search, security
 from scriptorium.plans.registry import query
-from scriptorium.sources.tables import table
+from scriptorium.sources.tables import shared_folder, table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,20 @@ def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.co_occurrence(_items(spark, sf_dir), "item", "doc", 3)
 
 
+@query("relation_upserts", f"with {ITEMS} select x.item as a, y.item as b, count(*) as weight, count(distinct x.doc) as sources from i x join i y on x.doc = y.doc and x.item < y.item group by all")
+def relation_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of one order as related, taken in as three deltas of which one comes twice, the first two folded."""
+    rows, path = _items(spark, sf_dir).distinct(), shared_folder(spark)
+    for k in (0, 1, 1, 2):
+        part = rows.filter(F.pmod("doc", F.lit(3)) == k)
+        other = part.select("doc", F.col("item").alias("second"))
+        links = part.join(other, "doc").filter("item < second").select(F.col("item").alias("first"), "second", F.col("doc").alias("source"))
+        relations.take_in(links, path, f"part{k}")
+        if k == 1:
+            relations.compact(spark, path)
+    return relations.relations(spark, path)
+
+
 EDGES = "e as (select distinct l_suppkey as a, l_partkey % 100 as b from lineitem where l_suppkey <> l_partkey % 100)"
 
 
