@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
-from scriptorium.operators import chunk, citations, context, library, search, topics
+from scriptorium.operators import chunk, citations, context, density, library, neighbour_graph, search, topics
 from scriptorium.plans.registry import query
 from scriptorium.sources import bibtex, logs, vault
-from scriptorium.sources.tables import table
+from scriptorium.sources.tables import stored, table
 
 _SQL = lambda s: s.replace("'", "''")
 
@@ -191,6 +191,18 @@ def parsed_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(context.ranking(reply, F.lit(9)), ",").alias("ranking"))
 
 
+@query("density_topics")
+def density_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of the embedded documents by density, each with its size and first words; -1 are documents in no topic."""
+    vectors = stored(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    near = neighbour_graph.search(neighbour_graph.build(vectors, 64), vectors.select(F.col("id").alias("query_id"), "embedding"), 11, 64)
+    edges = near.filter("query_id <> id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), (1 - F.col("similarity")).alias("distance"))
+    found = stored(density.clusters(stored(edges), vectors.select(F.col("id").alias("node")), 5, 5).select(F.col("node").alias("doc_id"), F.col("cluster").alias("topic")))
+    sizes = found.groupBy("topic").agg(F.count(F.lit(1)).alias("documents"))
+    named = topics.labels(topics.keywords(table(spark, sf_dir, "documents"), found))
+    return sizes.join(named, "topic", "left")
+
+
 @query("topics")
 def topics_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the embedded documents, each with its size and first words."""
