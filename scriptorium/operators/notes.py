@@ -124,13 +124,15 @@ def sentence_segments(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sentence's first line is where the lengths of those before it, without their ends, reach among the line ends: both are
     prefix sums, merged in one sorted pass over each text. Lengths are UTF-16 units. Rows are texts of their own; null texts have no sentences.
     """
-    masked, back = ft.present(text), F.col("s.raw")
-    for i, a in enumerate(ABBREVIATIONS):
-        masked = F.regexp_replace(masked, "(?i)" + a.replace(".", r"\.", 1), MASKS[i])
-    lasts = [F.try_element_at(F.regexp_extract_all(ft.present(text), F.lit("(?i)(" + a.replace(".", r"\.", 1) + ")"), 1), F.lit(-1)) for a in ABBREVIATIONS]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), key, masked.alias("masked"), F.split(ft.present(text), "\n").alias("lines"), F.array(*[F.coalesce(x, F.lit("")) for x in lasts]).alias("lasts"))
-    for i in range(len(ABBREVIATIONS)):
-        back = F.replace(back, F.lit(MASKS[i]), F.get("lasts", F.lit(i)))
+    rules = F.array(*[F.struct(F.lit("(?i)(" + a.replace(".", r"\.", 1) + ")").alias("pattern"), F.lit(m).alias("mask"), F.lit(a[: 3 if a.count(".") > 1 else len(a)].lower()).alias("shown")) for a, m in zip(ABBREVIATIONS, MASKS)])
+    # a pattern is run over the texts only that have its letters; an explode of one element keeps the masked text from being made again
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), key, ft.present(text).alias("t"), F.lower(ft.present(text)).alias("lower"))
+    masked = F.aggregate(rules, F.col("t"), lambda held, r: F.when(F.col("lower").contains(r["shown"]), F.regexp_replace(held, r["pattern"], r["mask"])).otherwise(held))
+    base = base.select("_row", key, "t", F.explode(F.array(masked)).alias("masked"))
+    kept = F.filter(rules, lambda r: F.col("masked").contains(r["mask"]))
+    lasts = F.transform(kept, lambda r: F.struct(r["mask"].alias("mask"), F.element_at(F.regexp_extract_all(F.col("t"), r["pattern"], F.lit(1)), -1).alias("last")))
+    base = base.select("_row", key, "masked", F.split("t", "\n").alias("lines"), F.explode(F.array(lasts)).alias("lasts"))
+    back = F.aggregate("lasts", F.col("s.raw"), lambda held, r: F.replace(held, r["mask"], r["last"]))
     # both kinds of places in one explode: pieces between sentence ends, and lines but for the last
     event = lambda kind, i, raw: F.struct(F.lit(kind).alias("kind"), i.alias("place"), raw.alias("raw"))
     pieces = F.transform(F.split("masked", rf"[.!?]+[{ft.SPACE}]+"), lambda x, i: event(0, i, x))
