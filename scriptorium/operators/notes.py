@@ -142,7 +142,7 @@ def sentence_segments(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # a mark of one digit is ten long, of two digits eleven
     units = ft.utf16_length(F.col("s.raw")) + F.when(F.col("s.kind") == 1, 1).otherwise(9 * marks(MASKS[:10]) + 10 * marks(MASKS[10:]))
     content = F.when(F.col("s.kind") == 0, ft.trimmed(back))
-    sized = events.select("_row", key, "n_lines", "s.kind", "s.place", units.cast("long").alias("units"), content.alias("content")).filter("kind = 1 or content <> ''")
+    sized = events.select("_row", key, "n_lines", "s.kind", "s.place", units.cast("long").alias("units"), content.alias("content")).filter("kind = 1 or content <> ''").repartition("_row")  # both sums below go by row
     before = F.sum("units").over(Window.partitionBy("_row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.col("kind") == 0, F.col("units")).otherwise(0)
     merged = sized.withColumn("at", before)
     passed = F.sum("kind").over(Window.partitionBy("_row").orderBy("at", "kind", "place").rowsBetween(Window.unboundedPreceding, 0))
