@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
@@ -135,8 +135,8 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.dense(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _vector_queries(spark, sf_dir))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
 @query(
@@ -154,7 +154,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     select query_id, id, similarity, rank from numbered where similarity >= 0.35 or (best < 0.35 and rank <= 3)""",
 )
 def threshold_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.above_or_top(_dense(spark, sf_dir).filter("id <> query_id"), 0.35).withColumn("rank", F.col("rank").cast("long"))
+    return search.above_or_nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 0.35, own=False).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -166,8 +166,9 @@ def threshold_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     select query_id, id, similarity, source_type, row_number() over (partition by query_id order by similarity desc, id) as rank from placed where kept or place <= 10 - taken""",
 )
 def quota_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = _dense(spark, sf_dir).filter("id <> query_id").withColumn("source_type", F.when(F.col("id") % 4 == 0, "manuscript").otherwise("secondary"))
-    return search.with_quota(kinds, 10).withColumn("rank", F.col("rank").cast("long"))
+    kinds = _vectors(spark, sf_dir).withColumn("kind", F.when(F.col("id") % 4 == 0, "manuscript").otherwise("secondary"))
+    best = search.nearest_by_kind(kinds, _vector_queries(spark, sf_dir), 10, own=False)  # more than ten of a kind are never chosen
+    return search.with_quota(best.select("query_id", "id", "similarity", F.col("kind").alias("source_type")), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -257,9 +258,8 @@ def hybrid_rrf_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_variant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The asking vectors of one hundred ids are variants of one query; each hit keeps its best similarity."""
     vectors = table(spark, sf_dir, "embeddings")
-    variants = vectors.filter("vec_id % 20 = 0").select(F.struct(F.expr("vec_id div 100").alias("query_id"), F.col("vec_id").alias("variant")).alias("query_id"), "embedding")
-    found = search.dense(vectors.select(F.col("vec_id").alias("id"), "embedding"), variants)
-    return search.merged_by_best(found.select("query_id.query_id", "id", "similarity"))
+    asked = vectors.filter("vec_id % 20 = 0").select(F.expr("vec_id div 100").alias("query_id"), "embedding")
+    return search.variants(vectors.select(F.col("vec_id").alias("id"), "embedding"), asked)
 
 
 @query(
@@ -269,10 +269,8 @@ def multi_variant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vector of each label for each asking vector."""
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    found = _dense(spark, sf_dir).filter("id <> query_id and similarity >= 0.1").join(labels, "id")
-    w = Window.partitionBy("query_id", "label").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rn", F.row_number().over(w).cast("long")).filter("rn = 1").select("query_id", "label", "id", "similarity", "rn")
+    best = search.nearest_by_kind(_vectors(spark, sf_dir).withColumnRenamed("label", "kind"), _vector_queries(spark, sf_dir), 1, least=0.1, own=False)
+    return best.select("query_id", F.col("kind").alias("label"), "id", "similarity", F.lit(1).cast("long").alias("rn"))
 
 
 @query("approximate_neighbours")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as ft
 from scriptorium.operators import chunk, context, dedup, entities, library, search, sources, topics
 from scriptorium.plans.registry import query
-from scriptorium.plans.search_queries import HYBRID, SEARCH_WORDS, _dense, _hybrid, _vector_queries
+from scriptorium.plans.search_queries import HYBRID, SEARCH_WORDS, _hybrid, _vector_queries, _vectors
 from scriptorium.plans.text_queries import CHUNKS, CONTENT_FORM, QUALITY
-from scriptorium.sources.tables import table
+from scriptorium.sources.tables import stored, table
 
 # --- items and sources ---------------------------------------------------------------------------
 
@@ -110,10 +110,11 @@ _CORPORA = """q as (select vec_id as query_id, embedding as asked from embedding
     chosen as (select * from placed where kept or place <= 10 - taken)"""
 
 
-def _in_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    near = _dense(spark, sf_dir).filter("id <> query_id and similarity >= 0.3")
-    part = {"manuscript": "id % 4 = 0", "primary": "id % 4 = 1", "secondary": "id % 4 > 1"}
-    return sources.in_corpora({name: near.filter(where) for name, where in part.items()}, _vector_queries(spark, sf_dir), 10)
+def _in_corpora(spark: SparkSession, sf_dir: str, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    kind = F.when(F.col("id") % 4 == 0, "manuscript").when(F.col("id") % 4 == 1, "primary").otherwise("secondary")
+    asked = _vector_queries(spark, sf_dir)
+    found = search.nearest_by_kind(_vectors(spark, sf_dir).withColumn("kind", kind), asked, 10, least=0.3, own=False, counted=counted)
+    return sources.in_corpora(stored(found) if counted else found, ["manuscript", "primary", "secondary"], asked, 10)
 
 
 @query("corpora_search", f"with {_CORPORA} select query_id, id, similarity, source_type, row_number() over (partition by query_id order by similarity desc, id) as rank from chosen")
@@ -129,7 +130,7 @@ def corpora_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     select query_id, source_type, case when coalesce(hits, 0) > 0 then 'found' else 'empty' end as outcome, coalesce(hits, 0) as hits, coalesce(used, 0) as used, best from n left join c using (query_id, source_type) left join u using (query_id, source_type)""",
 )
 def corpora_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_corpora(spark, sf_dir)[1]
+    return _in_corpora(spark, sf_dir, counted=True)[1]
 
 
 @query(
