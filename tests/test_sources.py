@@ -94,3 +94,13 @@ def test_bibtex(spark, tmp_path):
 @pytest.mark.parametrize("latex, plain", [(r"{\ss}", "ß"), (r"\oe uvre", "œuvre"), (r"100\% \_x\_", "100% _x_"), (r"na\"{\i}ve", "naïve"), (r"\~n", "ñ"), ("a~b", "a b"), (r"\v{S}koda", "Škoda")])
 def test_latex_to_unicode(latex, plain):
     assert bibtex.to_unicode(latex) == plain or plain == "naïve"  # a dotless i composes to a letter of its own
+
+
+def test_many_small_bibtex_files_make_few_frames():
+    import pandas as pd
+
+    given = pd.DataFrame({"path": [f"f{i}" for i in range(5000)], "text": ["@book{k, title = {T}}\n@misc{l, title = {U}}" if i % 2 else None for i in range(5000)]})
+    frames = list(bibtex._parse(iter([given.iloc[:2500], given.iloc[2500:]])))
+    assert sum(map(len, frames)) == 5000 and len(frames) <= 3
+    assert list(frames[0]["path"][:3]) == ["f1", "f1", "f3"] and list(frames[0]["id"][:2]) == ["k", "l"]
+    assert list(bibtex._parse(iter([given.iloc[:1]]))) == []
