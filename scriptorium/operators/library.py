@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def with_attachments(citations: DataFrame, items: DataFrame, key: str = "key", title: str = "title", item: str = "item_id") -> DataFrame:
-    """Adds the item that has the citation's key or, case ignored, its title; the least item wins. Two equi joins, no OR join."""
+    """Adds the item that has the citation's key or, case ignored, its title; the least item wins.
+
+    The least item of each key and of each title comes first, so a citation meets one row of each, however many items share a title.
+    """
+    least = lambda by, to: items.filter(by.isNotNull()).groupBy(by.alias(to)).agg(F.min(item).alias(f"{to}_item"))
     own = citations.select(key, F.lower(title).alias("_title"))
-    by_key = own.join(items.select(F.col("item_key").alias(key), item), key).select(key, item)
-    by_title = own.filter("_title is not null").join(items.select(F.lower("title").alias("_title"), item), "_title").select(key, item)
-    first = by_key.unionByName(by_title).groupBy(key).agg(F.min(item).alias(item))
+    named = own.join(least(F.lower("title"), "_title"), "_title", "left").groupBy(key).agg(F.min("_title_item").alias("_title_item"))
+    keyed = named.join(least(F.col("item_key"), "_key"), F.col(key) == F.col("_key"), "left")
+    first = keyed.select(key, F.least("_title_item", "_key_item").alias(item))
     return citations.join(first, key, "left")
 
 

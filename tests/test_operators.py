@@ -95,3 +95,20 @@ def test_topics_are_deterministic(spark):
     a, b = (sorted(map(tuple, topics.assign(df, 2).collect())) for _ in range(2))
     assert a == b and {t for k, t in a if k % 3} == {0} and {t for k, t in a if k % 3 == 0} == {1}
     assert [topics.topic_count(n) for n in (10, 50, 200, 1000)] == [3, 5, 20, 50]
+
+
+def test_attachments_of_one_title_meet_no_citation_all_against_all(spark):
+    own = spark.range(600).selectExpr("cast(id as string) as key", "'Same' as title")
+    items = spark.range(500).selectExpr("int(id + 7) as item_id", "'x' as item_key", "'same' as title")
+    found = library.with_attachments(own, items)
+    assert {r.item_id for r in found.collect()} == {7} and found.count() == 600
+
+    def rows_of(plan):
+        joins = [plan] if "Join" in plan.nodeName() else []
+        below = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+        return [p.metrics().apply("numOutputRows").value() for p in joins] + [n for p in below for n in rows_of(p)]
+
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.collectToPython()
+    assert max(rows_of(plan)) <= 600
