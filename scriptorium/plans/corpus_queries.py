@@ -218,7 +218,7 @@ def compressed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the best BM25 hits of each benchmark item, cut to 20,000 characters."""
     docs = table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    best = search.top(search.bm25(docs, asked), 10, "score", "doc_id")
+    best = search.bm25(docs, asked, 10)
     parts = chunk.fixed_chunks(docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")).withColumnRenamed("content", "body")
     hits = best.join(parts, "doc_id").join(asked.withColumnRenamed("text", "query"), "query_id")
     ready = hits.select("query_id", "query", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), F.col("doc_id").alias("document"), (F.col("rank") * 10000 + F.col("chunk_index")).alias("place"), F.col("body").alias("content"), F.col("score").alias("similarity"))

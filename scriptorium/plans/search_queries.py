@@ -57,7 +57,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    best = search.top(search.bm25(docs, _frequent_query(docs)), 10, "score", "doc_id")
+    best = search.bm25(docs, _frequent_query(docs), 10)
     return docs.select("doc_id", "lang", "source").join(F.broadcast(best), "doc_id").select("doc_id", "lang", "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -66,8 +66,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {bm25_sql(OKAPI_WORDS, 'len(w)', ITEMS)} select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored) where rank <= 10",
 )
 def okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(table(spark, sf_dir, "documents"), _items(spark, sf_dir), words=ft.okapi_words, distinct_length=False)
-    return search.top(found, 10, "score", "doc_id").withColumn("rank", F.col("rank").cast("long"))
+    found = search.bm25(table(spark, sf_dir, "documents"), _items(spark, sf_dir), 10, words=ft.okapi_words, distinct_length=False)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -77,8 +77,7 @@ def okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     select query_id, doc_id, score from scored join asked using (query_id) join tokens using (doc_id) where list_has_all(w, asked)""",
 )
 def conjunctive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), _items(spark, sf_dir)
-    return search.conjunctive(search.bm25(docs, items, k1=1.2), docs, items)
+    return search.bm25(table(spark, sf_dir, "documents"), _items(spark, sf_dir), None, k1=1.2)
 
 
 RELEVANT = "select item_id as query_id, doc_id from benchmark b join documents d on contains(d.text, b.text)"
@@ -95,7 +94,7 @@ RELEVANT = "select item_id as query_id, doc_id from benchmark b join documents d
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 against the documents that hold a benchmark item word for word."""
     docs, items = table(spark, sf_dir, "documents"), _items(spark, sf_dir)
-    hits = search.ranked(search.bm25(docs, items), "score", "doc_id")
+    hits = search.ranked(search.bm25_all(docs, items), "score", "doc_id")
     asked = search.small(items.select("query_id", F.col("text").alias("item_text")), 20_000)
     relevant = docs.join(asked, F.col("text").contains(F.col("item_text"))).select("query_id", "doc_id")
     return search.evaluate(hits, relevant)
@@ -109,7 +108,7 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_with_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = search.top(search.bm25(docs, _items(spark, sf_dir)), 50, "score", "doc_id")
+    hits = search.bm25(docs, _items(spark, sf_dir), 50)
     return hits.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("query_id").alias("queries"), F.max("score").alias("best"))
 
 
@@ -218,7 +217,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Documents, asking texts, fused list, dense list, sparse list."""
     docs, asked = table(spark, sf_dir, "documents"), _vector_queries(spark, sf_dir)
     texts = stored(docs.join(search.small(asked.select("query_id")), F.col("doc_id") == F.col("query_id")).select("query_id", "text"))
-    sparse = search.top(search.bm25(docs, texts), 50, "score", "doc_id").withColumnRenamed("doc_id", "id")
+    sparse = search.bm25(docs, texts, 50).withColumnRenamed("doc_id", "id")
     dense = search.nearest(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), asked, 50)
     return docs, texts, search.fuse(dense, sparse), dense, sparse
 
