@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.sources.tables import stored
+from scriptorium.operators.graph import shared_pairs
+from scriptorium.sources.tables import parts_for, stored
 
 
 def shares(df: DataFrame, by: str, digits: int = 1) -> DataFrame:
@@ -40,11 +41,14 @@ def split_authors(authors: Column) -> Column:
 
 def author_statistics(df: DataFrame, key: str, author: str, year: str) -> DataFrame:
     """(author, works, coauthors, years) from rows of one author and work each. Works with a very long list of authors cost its square."""
-    rows = df.select(key, author, year).distinct()
-    partners = rows.select(key, F.col(author).alias("other")).distinct()
-    pairs = rows.select(key, author).distinct().join(partners, key).filter(F.col(author) != F.col("other")).groupBy(author).agg(F.count_distinct("other").alias("coauthors"))
-    own = rows.groupBy(author).agg(F.count_distinct(key).alias("works"), F.array_sort(F.collect_set(year)).alias("years"))
-    return own.join(pairs, author, "left").withColumn("coauthors", F.coalesce("coauthors", F.lit(0)).cast("long"))
+    # a pair once, then counted at both of its ends
+    pairs = shared_pairs(df, author, key).distinct()
+    others = pairs.select(F.explode(F.array("a", "b")).alias(author)).groupBy(author).agg(F.count(F.lit(1)).alias("coauthors"))
+    once = df.select(key, author).repartition(parts_for(df.sparkSession, df.count()), key).distinct()
+    works = once.groupBy(author).agg(F.count(key).alias("works"))
+    years = df.groupBy(F.col(author).alias("_author")).agg(F.array_sort(F.collect_set(year)).alias("years"))
+    own = works.join(years, F.col(author).eqNullSafe(F.col("_author"))).join(others, author, "left")
+    return own.select(author, "works", "years", F.coalesce("coauthors", F.lit(0)).cast("long").alias("coauthors"))
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.sources.tables import stored
+from scriptorium.sources.tables import parts_for, stored
+
+
+def shared_pairs(rows: DataFrame, item: str, group: str) -> DataFrame:
+    """(a, b), a < b, for each group that two items share, dealt by the pair. Rows and pairs are counted first and dealt by their number."""
+    named = rows.select(F.col(group).alias("_group"), F.col(item).alias("_item"))
+    each = named.groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
+    size = each.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+    once = named.repartition(parts_for(rows.sparkSession, size["rows"] or 0), "_group").distinct()
+    left, right = once.select("_group", F.col("_item").alias("a")), once.select("_group", F.col("_item").alias("b"))
+    return left.join(right, "_group").filter("a < b").select("a", "b").repartition(parts_for(rows.sparkSession, int(size["pairs"] or 0)), "a", "b")
 
 
 def co_occurrence(rows: DataFrame, item: str, group: str, least: int = 1) -> DataFrame:
     """(a, b, weight): pairs of items with the number of groups they share, a < b, at the least or above."""
-    once = rows.select(F.col(group).alias("_group"), F.col(item).alias("_item")).distinct()
-    left, right = once.select("_group", F.col("_item").alias("a")), once.select("_group", F.col("_item").alias("b"))
-    pairs = left.join(right, "_group").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
-    return pairs.filter(F.col("weight") >= least)
+    return shared_pairs(rows, item, group).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
 
 
 def citation_edges(citations: DataFrame, source: str, target: str) -> DataFrame:
@@ -22,8 +29,9 @@ def citation_edges(citations: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of each edge (a, b, ...)."""
-    return edges.unionByName(edges.withColumns({"a": F.col("b"), "b": F.col("a")}))
+    """Both directions of each edge (a, b, ...). Edges are worked out once."""
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.withColumn("_ends", F.explode(ends)).withColumns({"a": F.col("_ends.a"), "b": F.col("_ends.b")}).drop("_ends")
 
 
 def strongest(edges: DataFrame, k: int, weight: str = "weight") -> DataFrame:

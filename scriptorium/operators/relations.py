@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.tables import parts_for
+
 
 def _files(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,12 +62,17 @@ def sources(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(*[f"{p}/rows" for p in parts]) if parts else None
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Stored rows by pair, to tasks by their number."""
+    return rows.repartition(parts_for(rows.sparkSession, rows.count()), "a", "b")
+
+
 def relations(spark: SparkSession, path: str) -> DataFrame | None:
     """(a, b, weight, sources): the sum of a pair's links and the number of its different sources."""
     rows = sources(spark, path)
     if rows is None:
         return None
-    once = rows.groupBy("a", "b", "source").agg(F.sum("n").alias("n"))
+    once = _dealt(rows).groupBy("a", "b", "source").agg(F.sum("n").alias("n"))
     return once.groupBy("a", "b").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("sources"))
 
 
@@ -76,5 +83,5 @@ def compact(spark: SparkSession, path: str) -> None:
         return
     base = f"{path}/base={int(newest or 0) + 1}"
     spark.createDataFrame([(k,) for k in sorted(held | set(deltas))], "delta string").coalesce(1).write.mode("overwrite").json(f"{base}/held")
-    rows = sources(spark, path).groupBy("a", "b", "source").agg(F.sum("n").alias("n"))
+    rows = _dealt(sources(spark, path)).groupBy("a", "b", "source").agg(F.sum("n").alias("n"))
     rows.write.mode("overwrite").parquet(f"{base}/rows")  # from here on the base counts

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as ft
 from scriptorium.operators import entities, graph, relations, search, security
 from scriptorium.plans.registry import query
-from scriptorium.sources.tables import shared_folder, table
+from scriptorium.sources.tables import parts_for, shared_folder, table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("relation_upserts", f"with {ITEMS} select x.item as a, y.item as b, count(*) as weight, count(distinct x.doc) as sources from i x join i y on x.doc = y.doc and x.item < y.item group by all")
 def relation_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of one order as related, taken in as three deltas of which one comes twice, the first two folded."""
-    rows, path = _items(spark, sf_dir).distinct(), shared_folder(spark)
+    items, path = _items(spark, sf_dir), shared_folder(spark)
+    rows = items.repartition(parts_for(spark, items.count()), "doc").distinct()  # a document's links are made and combined where it lies
     for k in (0, 1, 1, 2):
         part = rows.filter(F.pmod("doc", F.lit(3)) == k)
         other = part.select("doc", F.col("item").alias("second"))
