@@ -142,6 +142,15 @@ def _unpack_keys(x: dict[str, np.ndarray]) -> np.ndarray:
     return x["key"] if "key" in x else x["near"].astype(np.int64) + x["base"][0]
 
 
+def _pack_anchors(anchors: np.ndarray) -> dict[str, np.ndarray]:
+    """The lower 40 bits, as the bucket tells most of the others. Anchors that fall together by that only have more pieces asked for."""
+    return {"low": anchors.astype(np.uint32), "high": (anchors >> np.uint64(32)).astype(np.uint8)}
+
+
+def _unpack_anchors(x: dict[str, np.ndarray]) -> np.ndarray:
+    return x["a_low"].astype(np.uint64) | x["a_high"].astype(np.uint64) << np.uint64(32)
+
+
 def _firsts(*columns: np.ndarray) -> np.ndarray:
     """Marks the rows of sorted columns that differ from the row before."""
     new = np.ones(len(columns[0]), bool)
@@ -187,7 +196,7 @@ def _announce(buckets: int):
         new = _firsts(anchor, piece)
         least = key[new][np.cumsum(new) - 1]
         known = key > least
-        rows = _messages(_bucket_of(anchor[new], buckets), {"key": key[new], "anchor": anchor[new], "piece": piece[new]}, "a")
+        rows = _messages(_bucket_of(anchor[new], buckets), {"key": key[new], **_pack_anchors(anchor[new]), "piece": piece[new]}, "a")
         if known.any():
             k, p = key[known], piece[known]
             rows += _messages(_key_bucket(k, buckets), {"key": k, "piece": p}, "k")
@@ -236,7 +245,7 @@ def _verdicts(buckets: int):
             announced = [p for p in parts if "a_piece" in p]
             held += [(_unpack_keys({n[2:]: x for n, x in p.items() if n[0] == "k"}), p["k_piece"]) for p in parts if "k_piece" in p]
             if announced:
-                anchor, piece = (np.concatenate([p[n] for p in announced]) for n in ("a_anchor", "a_piece"))
+                anchor, piece = np.concatenate([_unpack_anchors(p) for p in announced]), np.concatenate([p["a_piece"] for p in announced])
                 key = np.concatenate([_unpack_keys({n[2:]: x for n, x in p.items() if n[0] == "a"}) for p in announced])
                 order = np.lexsort((key, piece, anchor))
                 key, anchor, piece = key[order], anchor[order], piece[order]
@@ -324,6 +333,13 @@ def _lookup(keys: np.ndarray, values: np.ndarray):
     return among
 
 
+def _runs(owner: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of some texts, in order, with those that touch put together: a copy gives one range, not one a piece."""
+    new = np.ones(len(first), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (first[1:] > stop[:-1])
+    return owner[new], first[new], stop[np.append(new[1:], True)]
+
+
 def _answers(buckets: int):
     """Known pieces as byte ranges for the documents, and the texts of the asked pieces."""
 
@@ -350,7 +366,8 @@ def _answers(buckets: int):
             owner = some[owner]
             known = told_of(doc_keys[owner], piece)
             if known.any():
-                ranges.append((doc_keys[owner[known]], hashes[owner[known]], first[known], first[known] + count[known] - 1 + LENGTH))
+                i, u, v = _runs(owner[known], first[known], first[known] + count[known] - 1 + LENGTH)
+                ranges.append((doc_keys[i], hashes[i], u, v))
             at = np.flatnonzero(told_of(doc_keys[owner], piece | np.uint64(1)))
             at = at[np.lexsort((piece[at], owner[at]))]
             starts = np.flatnonzero(_firsts(owner[at], piece[at])) if len(at) else at

@@ -111,3 +111,13 @@ def test_no_group_of_a_hot_fragment_is_large(spark, monkeypatch):
     rows = [(k, word() + hot + word()) for k in range(16_000)]
     got = suffix_dedup.remove_repeats(documents(spark, rows)).selectExpr("count(*) n", "sum(size(spans)) removed").first()
     assert (got.n, got.removed) == (16_000, 0)
+
+
+def test_a_copy_is_told_as_one_range(spark):
+    """Ranges of neighbouring known pieces are put together where the document lies, so copies cost no row a piece."""
+    text = " ".join(f"w{i * i % 9973}" for i in range(4000))
+    owner, first, count, _, _ = suffix_dedup.pieces([text.encode(), text.encode()[:20000]])
+    got = suffix_dedup._runs(owner, first, first + count - 1 + suffix_dedup.LENGTH)
+    assert [x.tolist() for x in got] == [[0, 1], [0, 0], [len(text), 20000]]
+    cut = [np.array(x) for x in ([0, 0, 0, 1], [0, 10, 200, 200], [60, 90, 260, 250])]
+    assert [x.tolist() for x in suffix_dedup._runs(*cut)] == [[0, 0, 1], [0, 200, 200], [90, 260, 250]]
