@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
 from scriptorium.operators import chunk, dedup, textometrics
+from scriptorium.sources.tables import stored
 
 # --- items -----------------------------------------------------------------------------------------
 
@@ -103,9 +104,9 @@ def ingested(pages: DataFrame, document: str = "doc_id", page: str = "page_numbe
     """(document, chunk_index, content, score): cleaned pages as one text, in chunks that pass the quality checks, each content of a document once."""
     clean = preprocessed(pages, document, page, text)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "text"))), lambda x: x["text"]), "\n\n")
-    chunks = chunk.fixed_chunks(clean.groupBy(document).agg(body.alias("text")), document)
+    chunks = stored(chunk.fixed_chunks(clean.groupBy(document).agg(body.alias("text")), document).select(document, "chunk_index", "content"))
     rated = textometrics.quality(chunks.select(F.struct(F.col(document).alias("k"), F.col("chunk_index").alias("i")).alias("id"), F.col("content").alias("text")), "id")
     passed = rated.filter("rejected is null").select(F.col("id.k").alias(document), F.col("id.i").alias("chunk_index"), "score")
-    kept = chunks.join(passed, [document, "chunk_index"]).withColumn("_hash", dedup.content_hash(ft.present("content")))
-    first = kept.groupBy(document, "_hash").agg(F.min("chunk_index").alias("chunk_index"))
-    return kept.join(first, [document, "_hash", "chunk_index"], "left_semi").select(document, "chunk_index", "content", "score")
+    hashed = chunks.select(document, "chunk_index", dedup.content_hash(ft.present("content")).alias("_hash")).join(passed, [document, "chunk_index"])
+    first = hashed.groupBy(document, "_hash").agg(F.min(F.struct("chunk_index", "score")).alias("m")).select(document, "m.chunk_index", "m.score")
+    return chunks.join(first, [document, "chunk_index"]).select(document, "chunk_index", "content", "score")
