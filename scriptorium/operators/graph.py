@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.search import small
 from scriptorium.sources.tables import parts_for, stored
 
 
@@ -81,11 +82,27 @@ def neighbours(edges: DataFrame, similar: DataFrame, seeds: DataFrame, k: int =
     return out.unionByName(into).unionByName(best)
 
 
+#: Links and notes of one target that meet in a task, where a target has many of both.
+CELL_ROWS = 1000
+
+
 def linked_notes(links: DataFrame, notes: DataFrame) -> DataFrame:
-    """(source, target): links to notes by path without .md, by path, or by title; one equi join each, no theta join."""
-    keys = F.array(F.regexp_replace("path", r"\.md$", ""), F.col("path"), F.col("title"))
-    named = notes.select("note_id", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("target"))
-    return links.join(named, "target").filter(F.col("source") != F.col("note_id")).select("source", F.col("note_id").alias("target")).distinct()
+    """(source, target): links to notes by path without .md, by path, or by title; one equi join each, no theta join.
+
+    A pair comes out where the first of the note's names that its source links to is met, so pairs are never shuffled to make them one. Targets
+    with many links and notes are dealt to cells of about ``CELL_ROWS`` of each.
+    """
+    keys = F.array_distinct(F.filter(F.array(F.regexp_replace("path", r"\.md$", ""), F.col("path"), F.col("title")), lambda k: k.isNotNull()))
+    named = notes.filter("note_id is not null").select("note_id", keys.alias("k")).groupBy("note_id").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("keys")).select("note_id", "keys", F.explode("keys").alias("target"))
+    asked = links.filter("source is not null").groupBy("source").agg(F.collect_set("target").alias("targets")).select("source", "targets", F.explode("targets").alias("target"))
+    many = lambda df, c: df.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias(c))
+    dealt = stored(many(asked, "p").join(many(named, "q"), "target").filter("p > 1 or q > 1"))
+    cell = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
+    left = asked.join(small(dealt), "target", "left").select("source", "targets", "target", cell("source", F.col("p")).alias("i"), every("q").alias("j"))
+    right = named.join(small(dealt), "target", "left").select("note_id", "keys", "target", cell("note_id", F.col("q")).alias("j"), every("p").alias("i"))
+    met = left.join(right, ["target", "i", "j"]).filter((F.col("source") != F.col("note_id")) & (F.get(F.array_intersect("keys", "targets"), F.lit(0)) == F.col("target")))
+    return met.select("source", F.col("note_id").alias("target"))
 
 
 def propagated(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Pairs and links are dealt by their number, so that what one task holds doesn't grow with the table."""
 
+import re
+
+from oracle import differences
 from scriptorium.operators import bibliography, graph, relations
+from scriptorium.plans.catalogue import ORACLES, QUERIES
 from scriptorium.sources import tables
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(spark):
     return spark.createDataFrame([(g, (g * 7 + i * i) % 23) for g in range(60) for i in range(5)], "g long, i long")
@@ -41,3 +47,16 @@ def test_authors_and_works_without_a_name_stay(spark):
     df = spark.createDataFrame([(1, None, 2000), (1, 5, 2000), (None, 5, 2001), (2, 5, None)], "k long, a long, y int")
     found = {r.a: (r.works, r.coauthors, r.years) for r in bibliography.author_statistics(df, "k", "a", "y").collect()}
     assert found == {None: (1, 0, [2000]), 5: (2, 0, [2000, 2001])}
+
+
+def test_popular_targets_are_dealt_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL_ROWS", 7)
+    links = [(s, t) for s in range(60) for t in ("x", "p3", "p3.md", "nowhere")] + [(None, "x"), (5, None), (3, "x")]
+    notes = [(n, f"p{n}.md", "x" if n % 2 else None) for n in range(40)] + [(3, "p9.md", "y"), (None, "p1.md", "x")]
+    found = graph.linked_notes(spark.createDataFrame(links, "source long, target string"), spark.createDataFrame(notes, "note_id long, path string, title string"))
+    want = {(s, n) for s, t in links for n, p, i in notes if None not in (s, t, n) and s != n and t in (p, p.removesuffix(".md"), i)}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    # no row is put together with equal ones after the join
+    assert not re.match(r"\s*(Aggregate|Distinct|Deduplicate)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert not differences(QUERIES["linked_notes"](spark, SF), ORACLES["linked_notes"], SF)
