@@ -29,16 +29,22 @@ def text_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def corpus_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row: totals of the corpus and means per document. Distinct words are counted over the corpus."""
-    per_doc = text_statistics(docs, key)
-    totals = per_doc.agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.sum("total_words").alias("total_words"),
-        F.sum("total_with_stopwords").alias("total_with_stopwords"),
-        F.round(F.avg("total_words"), 6).alias("mean_words"),
-        F.round(F.avg("unique_words"), 6).alias("mean_vocabulary"),
+    split = docs.select(ft.textometric_words(ft.present("text")).alias("words"), F.size(ft.all_words(ft.present("text"))).cast("long").alias("every"))
+    split = split.select("words", "every", F.array_distinct("words").alias("once"))
+    row = lambda word, *n: F.struct(word.cast("string").alias("word"), *[F.coalesce(x, F.lit(0)).cast("long").alias(c) for x, c in zip(n, ("documents", "words", "every", "once"))])
+    zero = [F.lit(0)] * 4
+    # a row without a word for each document and one for each of its distinct words, so texts are split once
+    rows = F.concat(F.array(row(F.lit(None), F.lit(1), F.size("words"), F.col("every"), F.size("once"))), F.transform("once", lambda w: row(w, *zero)))
+    sums = split.select(F.explode_outer(rows).alias("x")).groupBy("x.word").agg(*[F.sum(f"x.{c}").alias(c) for c in ("documents", "words", "every", "once")])
+    mean = lambda c: F.round(F.try_divide(F.sum(c).cast("double"), F.sum("documents")), 6)
+    return sums.agg(
+        F.coalesce(F.sum("documents"), F.lit(0)).cast("long").alias("documents"),
+        F.sum("words").alias("total_words"),
+        F.sum("every").alias("total_with_stopwords"),
+        mean("words").alias("mean_words"),
+        mean("once").alias("mean_vocabulary"),
+        F.count("word").alias("vocabulary"),
     )
-    vocabulary = word_counts(docs).agg(F.count(F.lit(1)).alias("vocabulary"))
-    return totals.crossJoin(vocabulary)  # one row each
 
 
 def _ngrams(docs: DataFrame, n: int, words: Words) -> DataFrame:
@@ -85,8 +91,10 @@ def corpus_ngrams(docs: DataFrame, n: int, k: int, key: str = "doc_id", words: W
     """
     if n < 2:
         return top_ngrams(docs, n, k, words)
-    split = docs.select(F.col(key).alias("key"), F.xxhash64(ft.present("text")).alias("hash"), words(ft.present("text")).alias("w")).filter(F.size("w") > 0)
-    edges = split.select("key", "hash", F.slice("w", 1, n - 1).alias("first"), F.when(F.size("w") > n - 1, F.slice("w", -(n - 1), n - 1)).otherwise(F.col("w")).alias("last"))
+    split = docs.select(F.col(key).alias("key"), F.xxhash64(ft.present("text")).alias("hash"), words(ft.present("text")).alias("w"))
+    ends = F.struct(F.slice("w", 1, n - 1).alias("first"), F.when(F.size("w") > n - 1, F.slice("w", -(n - 1), n - 1)).otherwise(F.col("w")).alias("last"))
+    # written down before keys are put into ranges, which reads twice; out of an explode, below which no filter is moved, so texts are split once
+    edges = stored(split.select("key", "hash", F.explode_outer(F.array(ends)).alias("e")).filter(F.size("e.first") > 0).select("key", "hash", "e.first", "e.last"))
     ranged = stored(edges.repartitionByRange("key", "hash").sortWithinPartitions("key", "hash").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "first", "last"))
     # every document kept has a word, so n - 1 of them are enough for a range's last words
     backwards = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("at")))
@@ -105,11 +113,12 @@ def corpus_ngrams(docs: DataFrame, n: int, k: int, key: str = "doc_id", words: W
 def tfidf(docs: DataFrame, k: int = 10, key: str = "doc_id", words: Words = ft.textometric_words, salts: int = 16) -> DataFrame:
     """The k words of each document with the highest count / total * ln(documents / documents with the word).
 
-    Words are counted within their row. Popular words are dealt over ``salts`` places in the join, and the
+    Words are counted within their row, once, and the counts stored. Popular words are dealt over ``salts`` places in the join, and the
     window keeps k words of a document before its shuffle.
     """
     split = docs.select(key, words(ft.present("text")).alias("words"))
-    counts = ft.with_counts(split, "words", "counts").select(key, F.size("words").alias("total"), F.explode_outer("counts").alias("c")).filter("c is not null").select(key, "total", "c.word", "c.count")
+    counted = stored(ft.with_counts(split, "words", "counts").select(key, F.size("words").alias("total"), "counts"))
+    counts = counted.select(key, "total", F.explode_outer("counts").alias("c")).filter("c is not null").select(key, "total", "c.word", "c.count")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     scored = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(df, ["word", "salt"]).crossJoin(F.broadcast(n))  # one row
