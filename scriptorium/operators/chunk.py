@@ -4,35 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as ft
 
 
-def fixed_chunks(docs: DataFrame, key: str = "doc_id", most: int = 300, overlap: int = 50, least: int = 50) -> DataFrame:
-    """(key, chunk_index, first_word, n_words, content): windows of ``most`` words starting every most - overlap.
+def chunk_lists(docs: DataFrame, key: str = "doc_id", most: int = 300, overlap: int = 50, least: int = 50) -> DataFrame:
+    """(key, chunks), an array of (chunk_index, first_word, n_words, content): windows of ``most`` words starting every most - overlap.
 
     A window ends after the last word of its final 50 that ends a sentence, if there is one; a window under
     ``least`` words is kept only if it ends the text.
     """
     words = ft.without_empty(F.split(ft.present("text"), r"\s+"))
     base = docs.select(key, words.alias("w"))
-    # every step works on arrays within the row, so nothing is shuffled and a chunk row holds its own words only
+    # every step works on arrays within the row, so nothing is shuffled and a chunk holds its own words only
     firsts = base.withColumn("x", F.expr(f"transform(filter(sequence(0, greatest(size(w) - 1, 0), {most - overlap}), f -> f < size(w)), f -> named_struct('first', f, 'end', least(f + {most}, size(w))))"))
     # the place (0-based) of the last word that ends a sentence in the final 50, the word at the end itself included
     tail = "array_max(filter(sequence(greatest(c.end - 50, c.first + 1), c.end), i -> coalesce(get(w, i), '') rlike '[.!?]$'))"
     cut = firsts.withColumn("x", F.expr(f"transform(x, c -> named_struct('first', c.first, 'stop', if(c.end < size(w), coalesce({tail} + 1, c.end), c.end)))"))
     kept = cut.withColumn("x", F.expr(f"filter(x, c -> c.stop - c.first >= {least} or c.stop >= size(w))"))
-    filled = kept.select(key, F.expr("transform(x, c -> named_struct('first', c.first, 'n', c.stop - c.first, 'content', array_join(slice(w, c.first + 1, c.stop - c.first), ' ')))").alias("x"))
-    return filled.select(key, F.posexplode_outer("x").alias("chunk_index", "c")).filter("c is not null").select(
-        key,
-        F.col("chunk_index").cast("long").alias("chunk_index"),
-        F.col("c.first").cast("long").alias("first_word"),
-        F.col("c.n").cast("long").alias("n_words"),
-        F.col("c.content").alias("content"),
-    )
+    numbered = "named_struct('chunk_index', cast(i as bigint), 'first_word', cast(c.first as bigint), 'n_words', cast(c.stop - c.first as bigint), 'content', array_join(slice(w, c.first + 1, c.stop - c.first), ' '))"
+    return kept.select(key, F.expr(f"transform(x, (c, i) -> {numbered})").alias("chunks"))
+
+
+def fixed_chunks(docs: DataFrame, key: str = "doc_id", most: int = 300, overlap: int = 50, least: int = 50) -> DataFrame:
+    """(key, chunk_index, first_word, n_words, content): the chunks of the lists as rows."""
+    return chunk_lists(docs, key, most, overlap, least).select(key, F.explode_outer("chunks").alias("c")).filter("c is not null").select(key, "c.*")
 
 
 def with_context(chunks: DataFrame, title: str, section: str | None = None) -> DataFrame:
@@ -188,32 +190,57 @@ def without_running_heads(pages: DataFrame, document: str = "doc_id", page: str
 ACADEMIC = "results conclude demonstrate findings analysis therefore significant montre conclusion résultats analyse donc".split()
 
 
+def _rated(words: pa.Array) -> pa.Array:
+    """For each sentence of each document, as lists of words: how often its words are in the document on average, how many it has, and how many academic ones."""
+    found = []
+    for u in range(0, len(words), 256):
+        part = words.slice(u, 256)
+        split = part.flatten()
+        each, sizes = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (part, split))
+        coded = split.flatten().dictionary_encode("encode")
+        code, sentence = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(split)), sizes)
+        document, width = np.repeat(np.arange(len(part)), each), max(1, len(coded.dictionary))
+        _, at, counts = np.unique(document[sentence] * width + code, return_inverse=True, return_counts=True)
+        mean = np.bincount(sentence, counts[at], len(split)) / np.maximum(sizes, 1)
+        own = np.flatnonzero(pc.is_in(coded.dictionary, value_set=pa.array(ACADEMIC)).to_numpy(zero_copy_only=False)[code])
+        academic = np.bincount(np.unique(sentence[own] * width + code[own]) // width, minlength=len(split))
+        rows = pa.StructArray.from_arrays([pa.array(mean), pa.array(sizes, pa.int32()), pa.array(academic, pa.int32())], names=["tf", "words", "academic"])
+        found.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), rows))
+    return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.struct([("tf", pa.float64()), ("words", pa.int32()), ("academic", pa.int32())])))
+
+
 def summaries(docs: DataFrame, key: str = "doc_id", most_words: int = 750) -> DataFrame:
     """(key, pos, sentence, score): the best sentences that fit a budget of words, in their order.
 
     Taking a sentence stops at 90 % of the budget; one that doesn't fit is passed over, so the choice is a fold.
+    A document stays one row until its sentences are chosen: nothing is shuffled.
     """
-    base = docs.select(key, ft.sentences(ft.present("text")).alias("s")).filter(F.size("s") > 0)
-    sentences = base.select(key, F.posexplode("s").alias("pos", "sentence"), F.size("s").alias("n")).withColumn("w", ft.search_words(F.col("sentence")))
-    words = sentences.select(key, "pos", F.explode("w").alias("word"))
-    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-    means = words.join(counts, [key, "word"]).groupBy(key, "pos").agg(F.avg("tf").alias("tf"))
-    joined = sentences.join(means, [key, "pos"], "left")
-    place = F.col("pos") / F.col("n")
-    size = F.size("w")
-    score = (
-        F.coalesce("tf", F.lit(0.0))
-        + F.when((place < 0.1) | (place >= 0.9), 1.0).otherwise(0.0)
-        + 0.5 * F.size(F.array_intersect("w", ft.literal_array(ACADEMIC)))
-        - F.when(size < 5, 1.0).when(size > 40, 0.5).otherwise(0.0)
-        + F.when(F.col("sentence").rlike(r"\d"), 0.3).otherwise(0.0)
-    )
-    scored = joined.select(key, "pos", "sentence", F.round(score, 6).alias("score"), size.alias("words"))
-    ordered = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), "pos", "words"))).alias("x"))
+
+    @F.arrow_udf("array<struct<tf: double, words: int, academic: int>>")
+    def rated(words: pa.Array) -> pa.Array:
+        return _rated(words)
+
+    split = docs.select(key, ft.sentences(ft.present("text")).alias("s"))
+    numbers = split.select(key, "s", rated(F.transform("s", ft.search_words)).alias("r"))
+
+    def scored(sentence: Column, pos: Column) -> Column:
+        r, place = F.get("r", pos), pos / F.size("s")
+        score = (
+            r["tf"]
+            + F.when((place < 0.1) | (place >= 0.9), 1.0).otherwise(0.0)
+            + 0.5 * r["academic"]
+            - F.when(r["words"] < 5, 1.0).when(r["words"] > 40, 0.5).otherwise(0.0)
+            + F.when(sentence.rlike(r"\d"), 0.3).otherwise(0.0)
+        )
+        return F.struct((-F.round(score, 6)).alias("least"), pos.alias("pos"), r["words"].alias("words"))
+
+    ordered = numbers.select(key, "s", F.array_sort(F.transform("s", scored)).alias("x"))
     chosen = F.expr(f"""
-        aggregate(x, named_struct('used', 0, 'taken', cast(array() as array<int>)), (a, y) ->
-            if(a.used >= {most_words * 0.9} or a.used + y.words > {most_words}, a, named_struct('used', a.used + y.words, 'taken', concat(a.taken, array(y.pos)))),
+        aggregate(x, named_struct('used', 0, 'taken', cast(array() as array<struct<pos: int, score: double>>)), (a, y) ->
+            if(a.used >= {most_words * 0.9} or a.used + y.words > {most_words}, a, named_struct('used', a.used + y.words, 'taken', concat(a.taken, array(named_struct('pos', y.pos, 'score', -y.least))))),
             a -> a.taken)
     """)
-    taken = ordered.select(key, F.explode(chosen).alias("pos"))
-    return scored.join(taken, [key, "pos"]).select(key, F.col("pos").cast("long").alias("pos"), "sentence", "score")
+    taken = ordered.select(key, "s", chosen.alias("taken"))
+    # not explode: the filter of empty arrays that it implies would be worked out at the scan, with all that lies between
+    shown = taken.select(key, F.explode_outer(F.transform("taken", lambda y: F.struct(y["pos"].alias("pos"), F.get("s", y["pos"]).alias("sentence"), y["score"].alias("score")))).alias("y"))
+    return shown.filter("y is not null").select(key, F.col("y.pos").cast("long").alias("pos"), "y.sentence", "y.score")
