@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,28 +41,53 @@ def neighbour_pairs(chunks: DataFrame, group: str = "doc_id", order: str = "chun
     return pairs.filter(F.col("similarity") >= least)
 
 
-def _greedy(ahead: int, least: float):
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("place")
-        sets, gone = [set(w) for w in rows["w"]], [False] * len(rows)
-        for i, a in enumerate(sets):
-            if gone[i]:
-                continue
-            for j in range(i + 1, min(i + 1 + ahead, len(sets))):
-                if not gone[j]:
-                    union = len(a | sets[j])
-                    gone[j] = bool(union) and len(a & sets[j]) / union >= least
-        return rows.assign(kept=[not g for g in gone])[["grp", "place", "kept"]]
-
-    return greedy
+def _kept(words: pa.Array, ahead: int, least: float) -> pa.Array:
+    """For each list of word sets, which of them no kept one of the ``ahead`` before it resembles. Words are coded, and all sets compared with those a step on at once."""
+    found = []
+    for u in range(0, len(words), 256):
+        part = words.slice(u, 256)
+        sets = part.flatten()
+        each, sizes = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (part, sets))
+        coded = sets.flatten().dictionary_encode("encode")
+        width, n = max(1, len(coded.dictionary)), len(sets)
+        of_set = np.repeat(np.arange(n), sizes)
+        group = np.repeat(np.arange(len(part)), each)
+        held = np.sort(of_set * width + coded.indices.to_numpy(zero_copy_only=False))
+        alike: list[tuple[int, int]] = []
+        for step in range(1, min(ahead, n - 1) + 1):
+            asked = held[: np.searchsorted(held, (n - step) * width)] + step * width
+            at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+            both = np.bincount(asked[held[at] == asked] // width - step, minlength=n)[: n - step] if len(asked) else np.zeros(n - step, np.int64)
+            union = sizes[:-step] + sizes[step:] - both
+            near = np.flatnonzero((group[:-step] == group[step:]) & (union > 0) & (both / np.maximum(union, 1) >= least))
+            alike += zip(near.tolist(), (near + step).tolist())
+        kept = np.ones(n, bool)
+        for a, b in sorted(alike):  # all that can remove a come before it
+            if kept[a]:
+                kept[b] = False
+        found.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(kept)))
+    return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.bool_()))
+
+
+def lists_without_near_copies(lists: DataFrame, chunks: str = "chunks", content: str = "content", ahead: int = 4, least: float = 0.85) -> DataFrame:
+    """Arrays of chunks in their order without those that a kept one of the four before resembles: a fold within the row. A removed chunk removes no other."""
+
+    @F.arrow_udf("array<boolean>")
+    def kept(words: pa.Array) -> pa.Array:
+        return _kept(words, ahead, least)
+
+    sets = F.transform(F.when(F.size(chunks) > 1, F.col(chunks)).otherwise(F.slice(chunks, 1, 0)), lambda c: word_set(ft.present(c[content])))
+    marked = lists.select("*", kept(sets).alias("_kept"))
+    return marked.withColumn(chunks, F.filter(chunks, lambda c, i: F.coalesce(F.get("_kept", i), F.lit(True)))).drop("_kept")
 
 
 def without_near_copies(chunks: DataFrame, group: str = "doc_id", order: str = "chunk_index", ahead: int = 4, least: float = 0.85) -> DataFrame:
-    """Chunks that no kept one of the four before it resembles. A removed chunk removes no other, so a document is one fold."""
-    sets = chunks.select(F.col(group).alias("grp"), F.col(order).alias("place"), word_set(ft.present("content")).alias("w"))
-    kind, place = (chunks.schema[c].dataType.simpleString() for c in (group, order))
-    kept = sets.groupBy("grp").applyInPandas(_greedy(ahead, least), f"grp {kind}, place {place}, kept boolean").filter("kept")
-    return chunks.join(kept.select(F.col("grp").alias(group), F.col("place").alias(order)), [group, order], "left_semi")
+    """The same for chunks as rows, brought together by their group."""
+    rows = chunks.select(group, F.struct(*chunks.columns).alias("c"))
+    by_order = lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)
+    lists = rows.groupBy(group).agg(F.array_sort(F.collect_list("c"), by_order).alias("chunks"))
+    kept = lists_without_near_copies(lists, ahead=ahead, least=least)
+    return kept.select(F.explode_outer("chunks").alias("c")).filter("c is not null").select("c.*")
 
 
 def across_documents(chunks: DataFrame, group: str = "doc_id") -> DataFrame:
