@@ -94,10 +94,8 @@ RELEVANT = "select item_id as query_id, doc_id from benchmark b join documents d
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 against the documents that hold a benchmark item word for word."""
     docs, items = table(spark, sf_dir, "documents"), _items(spark, sf_dir)
-    hits = search.ranked(search.bm25_all(docs, items), "score", "doc_id")
-    asked = search.small(items.select("query_id", F.col("text").alias("item_text")), 20_000)
-    relevant = docs.join(asked, F.col("text").contains(F.col("item_text"))).select("query_id", "doc_id")
-    return search.evaluate(hits, relevant)
+    relevant = stored(search.holding(docs, items))
+    return search.evaluate(search.first_ranks(docs, items, relevant), relevant)
 
 
 @query(
