@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators.search import small
+from scriptorium.operators.search import BROADCAST_ROWS, small
 from scriptorium.sources.tables import parts_for, stored
 
 
@@ -134,11 +136,18 @@ def modularity(edges: DataFrame, communities: DataFrame, weighted: bool = True)
     return r["inner"] / r["m"] - r["squares"] / r["m"] ** 2 if r["m"] else 0.0
 
 
-def _doubled(edges: DataFrame, weighted: bool) -> DataFrame:
-    """Both directions of each undirected edge once, weights of repeated ones summed; an edge from a node to itself counts twice, as its ends do."""
+def _ends(edges: DataFrame, weighted: bool) -> DataFrame:
     weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    ends = edges.filter("a is not null and b is not null").select("a", "b", weight.alias("weight")).filter("weight > 0")
-    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    return edges.filter("a is not null and b is not null").select("a", "b", weight.alias("weight")).filter("weight > 0")
+
+
+def _doubled(edges: DataFrame, weighted: bool, parts: int | None = None) -> DataFrame:
+    """Both directions of each undirected edge once, weights of repeated ones summed; an edge from a node to itself counts twice, as its ends do.
+
+    With ``parts``, all edges from a node lie together in one of so many tasks.
+    """
+    both = undirected(_ends(edges, weighted))
+    both = both.repartition(parts, "a") if parts else both
     return both.groupBy("a", "b").agg((F.sum("weight") if weighted else F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0)).alias("weight"))
 
 
@@ -157,7 +166,9 @@ def communities(edges: DataFrame, weighted: bool = True, tolerance: float = 1e-4
     than ``tolerance`` (0: never for that reason). States are written down; each job
     reads one level's edges, which shrink with every level. Nodes with edges only are known.
     """
-    links = stored(_doubled(edges, weighted))
+    once = stored(_ends(edges, weighted))
+    # what a round adds up for a node and a community is one row in one task, before anything is shuffled
+    links = stored(_doubled(once, weighted, parts_for(edges.sparkSession, 2 * once.count())))
     members = stored(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
     whole, level = links.agg(F.sum("weight")).first()[0], 0
     while whole:
@@ -176,9 +187,10 @@ def _moved(links: DataFrame, whole: float, tolerance: float) -> DataFrame | None
     """(node, community) after the rounds of one level; None if no move gains."""
     least = LEAST_GAIN * whole / links.count()
     labels = stored(links.groupBy("a").agg(F.sum("weight").alias("strength")).select(F.col("a").alias("node"), F.col("a").alias("community"), "strength"))
+    near = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df  # rows a node and a community; their number is that of the level's nodes at most
     start, turn, reached, share = labels, 0, None, 2  # one in so many nodes moves
     while True:
-        state = _proposals(links, labels, whole)
+        state = _proposals(links, labels, whole, near)
         r = state.agg(F.sum("inner").alias("inner"), F.sum(F.when(F.col("gain") > least, 1).otherwise(0)).alias("moves")).first()
         squares = labels.groupBy("community").agg(F.sum("strength").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
         now = r["inner"] / whole - squares / whole**2
@@ -207,14 +219,14 @@ def _moved(links: DataFrame, whole: float, tolerance: float) -> DataFrame | None
     return None if labels is start else labels.select("node", "community")
 
 
-def _proposals(links: DataFrame, labels: DataFrame, whole: float) -> DataFrame:
+def _proposals(links: DataFrame, labels: DataFrame, whole: float, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, community, inner, wanted, gain): the weight of each node's links into its own community, and its best move with the gain in units of weight, stored."""
     total = labels.groupBy("community").agg(F.sum("strength").alias("total"))
-    outer = links.filter("a <> b").join(labels.select(F.col("node").alias("b"), F.col("community").alias("to")), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
+    outer = links.filter("a <> b").join(near(labels.select(F.col("node").alias("b"), F.col("community").alias("to"))), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
     loops = links.filter("a = b").select(F.col("a").alias("node"), F.col("weight").alias("loop"))
-    own = labels.join(total, "community").select("node", "community", "strength", F.col("total").alias("own_total"))
-    near = outer.join(total.select(F.col("community").alias("to"), "total"), "to").withColumnRenamed("a", "node")
-    joined = own.join(near, "node", "left")
+    own = labels.join(near(total), "community").select("node", "community", "strength", F.col("total").alias("own_total"))
+    beside = outer.join(near(total.select(F.col("community").alias("to"), "total")), "to").withColumnRenamed("a", "node")
+    joined = own.join(beside, "node", "left")
     # of moving there from a community of its own, over the whole weight; what stays behind doesn't count itself
     value = F.col("w") - F.col("strength") * F.col("total") / whole
     stay = F.coalesce(F.max(F.when(F.col("to") == F.col("community"), F.col("w"))), F.lit(0.0))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.operators import graph
 
@@ -92,3 +93,12 @@ def test_a_star_loops_repeats_nulls_and_no_edges(spark):
     assert parts(graph.communities(frame(spark, odd)).collect()) == {frozenset({1, 2}), frozenset({3})}
     assert graph.communities(frame(spark, [])).collect() == [] and graph.propagated(frame(spark, [])).collect() == []
     assert graph.modularity(frame(spark, []), spark.createDataFrame([], "node long, community long")) == 0.0
+
+
+def test_edges_are_worked_out_once_and_lie_together(spark):
+    edges = frame(spark, [(a, b, 1.0) for a in range(20) for b in range(a)]).filter("a < b + 5").groupBy("a", "b").agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "weight")
+    links = graph._doubled(edges, True, 4)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("Filter") <= 2 and "Union" not in links._jdf.queryExecution().optimizedPlan().toString()
+    at = links.select("a", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(at) == len({r.a for r in at}) == 20
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, graph._doubled(edges, True).collect()))
