@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import text as ft
 from scriptorium.operators import chunk, dedup, textometrics
+from scriptorium.operators.search import small
 from scriptorium.sources.tables import stored
 
 # --- items -----------------------------------------------------------------------------------------
@@ -65,14 +72,22 @@ def session_reports(events: DataFrame, session: str = "session_id", at: str = "a
 # --- paged documents -------------------------------------------------------------------------------
 
 
+def _marked(pages: DataFrame, document: str, page: str, text: str, share: float) -> DataFrame:
+    source = pages.filter(F.col(document).isNotNull() & F.col(page).isNotNull()).select(document, page, ft.present(text).alias("text"))
+    return chunk.with_running_heads(source, document, page, share)
+
+
 def preprocessed(pages: DataFrame, document: str = "doc_id", page: str = "page_number", text: str = "text", share: float = 0.5) -> DataFrame:
     """Pages without recurring heads, page numbers and scanner noise: (document, page, text, heads_removed, numbers_removed, original_length)."""
-    source = pages.select(document, page, ft.present(text).alias("text"))
-    headless = chunk.without_running_heads(source, document, page, share).withColumnRenamed("text", "headless")
-    joined = source.select(document, page, F.length("text").cast("long").alias("original_length"), F.size(F.split("text", "\n")).alias("lines")).join(headless, [document, page])
+    return _cleaned(_marked(pages, document, page, text, share), document, page)
+
+
+def _cleaned(marked: DataFrame, *keys: str) -> DataFrame:
+    """Pages with text and _heads cleaned, each within its row."""
+    joined = marked.select(*keys, F.length("text").cast("long").alias("original_length"), F.size(F.split("text", "\n")).alias("lines"), chunk.headless(F.col("text"), F.col("_heads")).alias("headless"))
     unnumbered = joined.withColumn("unnumbered", ft.drop_page_numbers(F.col("headless")))
     heads = (F.col("lines") - F.when(F.col("headless") == "", F.when(F.col("original_length") == 0, 1).otherwise(0)).otherwise(F.size(F.split("headless", "\n")))).cast("long")
-    return unnumbered.select(document, page, ft.clean_ocr(F.col("unnumbered")).alias("text"), heads.alias("heads_removed"), (F.length("unnumbered") < F.length("headless")).alias("numbers_removed"), "original_length")
+    return unnumbered.select(*keys, ft.clean_ocr(F.col("unnumbered")).alias("text"), heads.alias("heads_removed"), (F.length("unnumbered") < F.length("headless")).alias("numbers_removed"), "original_length")
 
 
 def preprocess_statistics(pages: DataFrame, document: str = "doc_id") -> DataFrame:
@@ -100,13 +115,97 @@ def page_chunks(pages: DataFrame, document: str = "doc_id", page: str = "page_nu
     return numbered.select(document, "chunk_index", page, F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("content"))
 
 
+def _placed(names: list[str]):
+    """Pages in order with the number of their words, and how many words of their document the task has had before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, had = None, 0
+        for b in batches:
+            words = np.where(pc.equal(b.column(2), "").to_numpy(zero_copy_only=False), 0, pc.count_substring(b.column(2), " ").to_numpy(zero_copy_only=False) + 1).astype(np.int64)
+            firsts = np.empty(len(b), np.int64)
+            for i, (document, n) in enumerate(zip(b.column(1).to_pylist(), words.tolist())):
+                had = had if document == now else 0
+                now, firsts[i] = document, had
+                had += n
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(words), pa.array(firsts)], names=names)
+
+    return run
+
+
+def _windows(names: list[str], whole: bool, step: int = 250, width: int = 301):
+    """Windows of ``width`` words that begin every ``step`` words of a document, from pages whose place in it is known: those that consecutive pages of a task hold wholly, or the pieces of all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the run of pages: its document and first word, the place of the first word held, the words, the next window
+        now, began, at, held, i = None, 0, 0, [], 0
+        out: list[tuple] = []
+
+        def tell(stop: int) -> None:
+            nonlocal i
+            first = max(i * step, at)
+            if whole == (stop == i * step + width and i * step >= began):
+                out.append((now, i, first, " ".join(held[first - at : stop - at])))
+            i += 1
+
+        def told(kind: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array([r[c] for r in out], t) for c, t in enumerate((kind, pa.int64(), pa.int64(), pa.string()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        kind = None
+        for b in batches:
+            kind = b.schema.types[0]
+            for document, body, n, place in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if document != now or place != at + len(held):
+                    while i * step < at + len(held):
+                        tell(at + len(held))
+                    now, began, at, held, i = document, place, place, [], max(0, (place - width) // step + 1)
+                held += body.split(" ")
+                while i * step + width <= at + len(held):
+                    tell(i * step + width)
+                    if i * step > at:
+                        held, at = held[i * step - at :], i * step
+            yield told(kind)
+        while i * step < at + len(held):
+            tell(at + len(held))
+        if out:
+            yield told(kind)
+
+    return run
+
+
+def book_chunks(ordered: DataFrame, document: str) -> DataFrame:
+    """(document, chunk_index, content): the fixed chunks of documents told as pages, whose words are never together in a row.
+
+    ``ordered`` has (part, document, body): pages dealt to tasks by ranges of document and page and in order within, words with one space between. A chunk
+    begins every 250 words and is decided by 301 words at most, the last of them the word behind it. A page's place in its document is the words before it in its
+    task and those of the tasks before. Windows within consecutive pages are cut where they are; only pieces at the borders of runs are shuffled.
+    """
+    kind = ordered.schema[document].dataType
+    names = ["part", document, "body", "n", "first"]
+    placed = stored(ordered.mapInArrow(_placed(names), T.StructType([ordered.schema["part"], ordered.schema[document], *T.StructType.fromDDL("body string, n long, first long").fields])).filter("n > 0"))
+    sums = placed.groupBy("part", document).agg(F.sum("n").alias("n"))
+    before = sums.select("part", document, F.sum("n").over(Window.partitionBy(document).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    pages = placed.join(small(stored(before.filter("before is not null"))), ["part", document], "left").select(document, "body", "n", (F.col("first") + F.coalesce("before", F.lit(0))).alias("first"))
+    names = [document, "chunk_index", "at", "text"]
+    schema = T.StructType([T.StructField(document, kind), *T.StructType.fromDDL("chunk_index long, at long, text string").fields])
+    pieces = pages.mapInArrow(_windows(names, False), schema).groupBy(document, "chunk_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
+    windows = pages.mapInArrow(_windows(names, True), schema).select(document, "chunk_index", "text").unionByName(pieces)
+    # a window as a text of its own: its first chunk
+    cut = chunk.fixed_chunks(windows.select(F.struct(document, "chunk_index").alias("id"), "text"), "id").filter("chunk_index = 0")
+    return cut.select(f"id.{document}", "id.chunk_index", "content")
+
+
 def ingested(pages: DataFrame, document: str = "doc_id", page: str = "page_number", text: str = "text") -> DataFrame:
     """(document, chunk_index, content, score): cleaned pages as one text, in chunks that pass the quality checks, each content of a document once."""
-    clean = preprocessed(pages, document, page, text)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "text"))), lambda x: x["text"]), "\n\n")
-    chunks = stored(chunk.fixed_chunks(clean.groupBy(document).agg(body.alias("text")), document).select(document, "chunk_index", "content"))
-    rated = textometrics.quality(chunks.select(F.struct(F.col(document).alias("k"), F.col("chunk_index").alias("i")).alias("id"), F.col("content").alias("text")), "id")
-    passed = rated.filter("rejected is null").select(F.col("id.k").alias(document), F.col("id.i").alias("chunk_index"), "score")
-    hashed = chunks.select(document, "chunk_index", dedup.content_hash(ft.present("content")).alias("_hash")).join(passed, [document, "chunk_index"])
-    first = hashed.groupBy(document, "_hash").agg(F.min(F.struct("chunk_index", "score")).alias("m")).select(document, "m.chunk_index", "m.score")
-    return chunks.join(first, [document, "chunk_index"]).select(document, "chunk_index", "content", "score")
+    ranged = _marked(pages, document, page, text, 0.5).repartitionByRange(document, page).withColumn("part", F.spark_partition_id())
+    body = F.array_join(ft.without_empty(F.split("text", r"\s+")), " ").alias("body")
+    clean = _cleaned(ranged, "part", document, page)
+    ordered = clean.select("part", document, page, body).sortWithinPartitions(document, page).select("part", document, "body")
+    chunks = book_chunks(ordered, document)
+    rated = textometrics.quality(chunks.select(F.struct(document, "chunk_index", "content").alias("id"), F.col("content").alias("text")), "id").filter("rejected is null")
+    kept = stored(rated.select("id.*", "score", dedup.content_hash(ft.present("id.content")).alias("_hash")))
+    # of contents that a document has more than once the first stays; only hashes are shuffled
+    copies = stored(kept.groupBy(document, "_hash").agg(F.min("chunk_index").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    once = kept.join(small(copies), [document, "_hash"], "left").filter("_first is null or chunk_index = _first")
+    return once.select(document, "chunk_index", "content", "score")

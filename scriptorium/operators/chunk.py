@@ -170,20 +170,36 @@ def bordered_chunks(sentences: DataFrame, borders: DataFrame, group: str, order:
     return numbered.select(group, "chunk_index", F.col("c.first").alias("first"), F.col("c.n").cast("long").alias("n_words"), F.col("c.content").alias("content"))
 
 
-def without_running_heads(pages: DataFrame, document: str = "doc_id", page: str = "page_number", share: float = 0.5) -> DataFrame:
-    """Pages without lines that recur among the first or last two on at least ceil(share * pages) pages of a document of three and more."""
-    every = pages.select(document, page, F.posexplode(F.split(ft.present("text"), "\n")).alias("pos", "content"), F.size(F.split(ft.present("text"), "\n")).alias("n"))
-    filled = every.filter(F.trim("content") != "")
-    w = Window.partitionBy(document, page)
-    edges = filled.withColumn("up", F.row_number().over(w.orderBy("pos"))).withColumn("down", F.row_number().over(w.orderBy(F.desc("pos"))))
-    forms = edges.filter("up <= 2 or down <= 2").select(document, page, ft.line_form(F.col("content")).alias("form")).filter("length(form) > 3")
+def with_running_heads(pages: DataFrame, document: str = "doc_id", page: str = "page_number", share: float = 0.5) -> DataFrame:
+    """Pages with _heads, the forms of lines that recur among the first or last two on at least ceil(share * pages) pages of their document, if that has three and more; else null.
+
+    Only the forms of first and last lines are shuffled. Those that recur are few a document (each takes a share of its
+    pages), so they are a list for each document, broadcast where documents with such lists are few.
+    """
+    from scriptorium.operators.search import small
+    from scriptorium.sources.tables import stored
+
+    filled = F.filter(F.split(ft.present("text"), "\n"), lambda x: F.trim(x) != "")
+    edges = F.concat(F.slice("x", 1, 2), F.slice("x", F.greatest(F.size("x") - 1, F.lit(1)), F.lit(2)))
+    forms = pages.select(document, page, filled.alias("x")).select(document, page, F.explode_outer(F.array_distinct(F.transform(edges, ft.line_form))).alias("form")).filter("length(form) > 3")
     counts = forms.groupBy(document, "form").agg(F.count_distinct(page).alias("on_pages"))
     sizes = pages.groupBy(document).agg(F.count(F.lit(1)).alias("pages")).filter("pages >= 3")
-    recurring = counts.join(sizes, document).filter(F.col("on_pages") >= F.ceil(F.col("pages") * share)).select(document, "form")
-    candidates = every.withColumn("form", F.when((F.col("pos") < 2) | (F.col("pos") >= F.col("n") - 2), ft.line_form(F.col("content"))))
-    kept = candidates.join(recurring, [document, "form"], "left_anti")
-    texts = kept.groupBy(document, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n").alias("text"))
-    return pages.select(document, page).join(texts, [document, page], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    recurring = counts.join(sizes, document).filter(F.col("on_pages") >= F.ceil(F.col("pages") * share))
+    heads = stored(recurring.groupBy(document).agg(F.collect_list("form").alias("_heads")))
+    return pages.join(small(heads), document, "left")
+
+
+def headless(text: Column, heads: Column) -> Column:
+    """A page without those of its first and last two lines whose form is among its document's heads: its lines stay in its row."""
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x, i: ~(((i < 2) | (i >= F.size(lines) - 2)) & F.array_contains(heads, ft.line_form(x))))
+    return F.when(heads.isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+
+def without_running_heads(pages: DataFrame, document: str = "doc_id", page: str = "page_number", share: float = 0.5) -> DataFrame:
+    """Pages without lines that recur among the first or last two on at least ceil(share * pages) pages of a document of three and more."""
+    marked = with_running_heads(pages, document, page, share)
+    return marked.select(document, page, headless(ft.present("text"), F.col("_heads")).alias("text"))
 
 
 #: Words that mark academic statements.
